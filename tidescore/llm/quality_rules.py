@@ -26,7 +26,7 @@ ORDER = 3
 #: Pseudo-count that both multinomials get, split evenly over the buckets.
 SMOOTHING = 65_536.0
 #: Mean log ratio below which a text is rejected.
-THRESHOLD = -0.1
+THRESHOLD = -0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
