@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+from array import array
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,13 +33,35 @@ from tidescore.llm import common
 SPACE = "▁"
 NORMAL = 1
 #: Cuts that a worker's cache holds before it starts anew.
-CACHE_CUTS = 300_000
+CACHE_CUTS = 1_000_000
+#: Characters up to which the agenda is a plain list.
+SHORT = 40
+#: Characters below which the words of a batch are encoded together.
+TOGETHER = 32
+#: Symbols as numbers: a piece's id, or the number of pieces and the code point of a character that is no piece.
+NUMBER_BITS = 24
+NUMBER_MASK, NO_PAIR = (1 << NUMBER_BITS) - 1, 1 << 62
 
 _coders: dict[bytes, "Coder"] = {}
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class _Numbers(dict):
+    """Numbers by character."""
+
+    def __init__(self, ids: dict[str, int], size: int):
+        super().__init__((c, i) for c, i in ids.items() if len(c) == 1)
+        self.size = size
+
+    def __missing__(self, c: str) -> int:
+        return self.size + ord(c)
+
+
 class _Ids(dict):
-    """Ids by cut; what is missing is encoded, and the cache starts anew when it is full."""
+    """Ids by cut, packed in bytes; what is missing is encoded, and the cache starts anew when it is full."""
 
     def __init__(self, find, most: int):
         self.find, self.most = find, most
@@ -69,16 +92,32 @@ class Coder:
         self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(p[0] != SPACE and p[1] == SPACE for p in self.side_by_side) or any("\n" in p for p in self.ids):
             raise ValueError("pieces that hold a space after other text, or a line end, are not supported")
-        self.line_end = self.bytes[10]
-        self.parts = _Ids(self.agenda, cache)
+        self.size = len(proto.pieces)
+        self.numbers = _Numbers(self.ids, self.size)
+        order = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
+        self.joins = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                ends = [self.ids.get(x) if len(x) > 1 else self.numbers[x] for x in (piece[:k], piece[k:])]
+                if None not in ends:
+                    self.joins[ends[0] << NUMBER_BITS | ends[1]] = order[self.costs[piece]] << NUMBER_BITS | i
+        self.join_keys = np.array(sorted(self.joins), np.int64)
+        self.join_entries = np.array([self.joins[k] for k in self.join_keys.tolist()], np.int64)
+        self.number_table = np.arange(0x110000, dtype=np.int64) + self.size
+        for c, i in self.numbers.items():
+            self.number_table[ord(c)] = i
+        single = [c for p, c in self.costs.items() if len(p) > 1 and p.strip(SPACE)]
+        self.distinct_scores = len(set(single)) == len(single)
+        self.line_end = pack([self.bytes[10]])
+        self.parts = _Ids(self.agenda, cache // 4)
         self.plain = _Ids(self.cut, cache)
         self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache)
 
-    def agenda(self, text: str) -> tuple[int, ...]:
+    def agenda(self, text: str) -> bytes:
         """Ids of a text, white space escaped, by joining the best pair of neighbours until none is left."""
+        n = len(text)
         costs = self.costs
         symbols: list[str | None] = list(text)
-        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = []
         for i in range(n - 1):
@@ -103,44 +142,128 @@ class Coder:
                 longer = symbols[leads] + joined
                 if longer in costs:
                     heapq.heappush(waiting, (costs[longer], leads, left, longer))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                found = self.ids.get(symbol)
-                if found is None:
-                    out += [self.bytes[b] for b in symbol.encode()]
-                else:
-                    out.append(found)
-        return tuple(out)
+        return self.pieces([x for x in symbols if x is not None])
+
+    def short(self, text: str) -> bytes:
+        """agenda() for a short text without runs of spaces, in numbers.
+
+        The agenda is a list with the entry of each pair in place: the place of the joined piece in the order of scores, then
+        its id. Its least entry is the best pair; no two pieces share a score here, so equal entries differ in place only.
+        """
+        join = self.joins.get
+        symbols = list(map(self.numbers.__getitem__, text))
+        waiting = [join(a << NUMBER_BITS | b, NO_PAIR) for a, b in zip(symbols, symbols[1:])]
+        while waiting and (least := min(waiting)) != NO_PAIR:
+            i = waiting.index(least)
+            joined = symbols[i] = least & NUMBER_MASK
+            del symbols[i + 1]
+            del waiting[i]
+            if i < len(waiting):
+                waiting[i] = join(joined << NUMBER_BITS | symbols[i + 1], NO_PAIR)
+            if i:
+                waiting[i - 1] = join(symbols[i - 1] << NUMBER_BITS | joined, NO_PAIR)
+        return pack(symbols if max(symbols) < self.size else self.spelled(symbols))
 
-    def cut(self, text: str) -> tuple[int, ...]:
+    def spelled(self, symbols: list[int]) -> list[int]:
+        """Numbers, those beyond the vocabulary as their bytes' pieces."""
+        return [i for x in symbols for i in ((x,) if x < self.size else map(self.bytes.__getitem__, chr(x - self.size).encode()))]
+
+    def pieces(self, symbols: list[str]) -> bytes:
+        """Ids of symbols; those that are no piece become their bytes' pieces."""
+        return pack([i for x in symbols for i in ((self.ids[x],) if x in self.ids else map(self.bytes.__getitem__, x.encode()))])
+
+    def cut(self, text: str) -> bytes:
         """Ids of a text, which is cut between characters that no piece holds side by side."""
-        pairs, start, out = self.side_by_side, 0, []
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out.append(text[start:i])
-                start = i
-        if not start:
+        if len(text) <= SHORT and self.distinct_scores and SPACE not in text[1:]:
+            return self.short(text)
+        pairs = self.side_by_side
+        ends = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        if not ends:
             return self.agenda(text)
-        out.append(text[start:])
-        return tuple(chain.from_iterable(map(self.parts.__getitem__, out)))
+        return b"".join(map(self.parts.__getitem__, map(text.__getitem__, map(slice, [0, *ends], [*ends, len(text)]))))
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Words that are not in the cache are encoded together first."""
+        plan, words = [], set()
+        for text in texts:
+            lines = []
+            for line in (SPACE + text.replace(" ", SPACE)).split("\n") if text else ():
+                if SPACE + SPACE in line:
+                    lines.append((re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line), ()))
+                else:
+                    first, *rest = line.split(SPACE)
+                    lines.append(((first,) if first else (), rest))
+                    words.update(rest)
+            plan.append(lines)
         plain, spaced = self.plain, self.spaced
-        out: list[int] = []
-        for i, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
-            if i:
-                out.append(self.line_end)
-            if SPACE + SPACE in line:
-                out.extend(chain.from_iterable(map(plain.__getitem__, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line))))
-            elif line:
-                first, *words = line.split(SPACE)
-                if first:
-                    out.extend(plain[first])
-                out.extend(chain.from_iterable(map(spaced.__getitem__, words)))
-        return out
+        if self.distinct_scores:
+            self.learn([w for w in words if w not in spaced and len(w) < TOGETHER and "\0" not in w])
+        result = []
+        for lines in plan:
+            out: list[bytes] = []
+            for i, (cuts, rest) in enumerate(lines):
+                if i:
+                    out.append(self.line_end)
+                out.extend(map(plain.__getitem__, cuts))
+                out.extend(map(spaced.__getitem__, rest))
+            result.append(np.frombuffer(b"".join(out), np.int32).tolist())
+        return result
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words with their leading space into the cache: the agenda of short(), for all words of like length at once."""
+        if len(self.spaced) + len(words) > self.spaced.most:
+            self.spaced.clear()
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for length, some in by_length.items():
+            symbols = np.full((len(some), length + 1), self.numbers[SPACE], np.int64)
+            if length:
+                symbols[:, 1:] = self.number_table[np.array(some, f"U{length}").view(np.uint32).reshape(len(some), length)]
+            waiting = self.entries(symbols[:, :-1], symbols[:, 1:])
+            at, rows = np.arange(len(some)), np.arange(len(some))
+            while len(at):  # every word left has had as many joins, so all have as many symbols
+                if waiting.shape[1]:
+                    i = waiting.argmin(axis=1)
+                    least = waiting[rows, i]
+                    go = least != NO_PAIR
+                else:
+                    go = np.zeros(len(at), bool)
+                if not go.all():
+                    self.keep(map(some.__getitem__, at[~go].tolist()), symbols[~go])
+                    if not go.any():
+                        break
+                    at, symbols, waiting, i, least = at[go], symbols[go], waiting[go], i[go], least[go]
+                    rows = rows[: len(at)]
+                symbols[rows, i] = least & NUMBER_MASK
+                keep = np.ones(symbols.shape, bool)
+                keep[rows, i + 1] = False
+                symbols = symbols[keep].reshape(len(at), -1)
+                keep = np.ones(waiting.shape, bool)
+                keep[rows, i] = False
+                waiting = waiting[keep].reshape(len(at), -1)
+                after = np.flatnonzero(i < waiting.shape[1])
+                waiting[after, i[after]] = self.entries(symbols[after, i[after]], symbols[after, i[after] + 1])
+                before = np.flatnonzero(i > 0)
+                waiting[before, i[before] - 1] = self.entries(symbols[before, i[before] - 1], symbols[before, i[before]])
+
+    def keep(self, words, symbols: np.ndarray) -> None:
+        """Puts the ids of words into the cache."""
+        if (symbols >= self.size).any():
+            ids = [pack(self.spelled(row)) for row in symbols.tolist()]
+        else:
+            packed, step = symbols.astype(np.int32).tobytes(), 4 * symbols.shape[1]
+            ids = [packed[k : k + step] for k in range(0, len(packed), step)]
+        self.spaced.update(zip(words, ids, strict=True))
+
+    def entries(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Agenda entries of pairs of numbers; NO_PAIR where they join to no piece."""
+        key = a << NUMBER_BITS | b
+        place = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
+        return np.where(self.join_keys[place] == key, self.join_entries[place], NO_PAIR)
 
 
 def coder(model: bytes) -> Coder:
@@ -152,7 +275,7 @@ def coder(model: bytes) -> Coder:
 
 def encode_batch(own: Coder, texts: list[str]) -> list[list[int]]:
     """Ids of each text, checked against the library."""
-    ids = [own.encode(t) for t in texts]
+    ids = own.encode_all(texts)
     for text, mine, theirs in zip(texts, ids, own.library.encode(texts, num_threads=1), strict=True):
         if mine != theirs:
             raise RuntimeError(f"encoding differs from the library's for a text of {len(text)} characters: {text[:80]!r}")
