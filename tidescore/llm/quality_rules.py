@@ -27,6 +27,8 @@ ORDER = 3
 SMOOTHING = 65_536.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.5
+#: Trusted ids up to which they are broadcast, so that no text is shuffled.
+BROADCAST_IDS = 500_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -81,9 +83,10 @@ def buckets(text: str, order: int = ORDER, size: int = BUCKETS) -> np.ndarray:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket, from all documents and all labelled ones."""
     common.prepare(docs.sparkSession)
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    good = docs.select("doc_id").join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").distinct().select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good"))
-    joined = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(True))
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)  # else a shuffled join
+    joined = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
 
     def count(batches):
         tally = np.zeros((2, BUCKETS), np.int64)
