@@ -4,7 +4,7 @@ Text bytes are cut into fixed-length windows. Each byte has an embedding; filter
 the maximum over places of each filter passes a rectifier, and a softmax layer gives the languages. A document's
 probabilities are the softmax of its windows' mean logits, so the whole text counts.
 
-Training takes at most TRAIN_DOCS_PER_LANG labelled documents of each language, chosen by a hash of the id among those
+Training takes at most TRAIN_DOCS_PER_LANG labelled documents of each of at most MAX_LANGS languages, chosen by a hash among those
 whose crc32(id) mod 4 is not 2, and at most TRAIN_WINDOWS windows of each, spread evenly over the text. Both are
 parameters of the fit alone; prediction reads every byte.
 
@@ -29,6 +29,8 @@ FILTERS = 12
 EMBEDDING = 8
 TRAIN_DOCS_PER_LANG = 600
 TRAIN_WINDOWS = 4
+#: Languages learned, the most frequent ones.
+MAX_LANGS = 64
 EPOCHS = 12
 BATCH = 64
 RATE = 0.01
@@ -170,16 +172,19 @@ class Network:
 def training_rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, language numbers and languages of the bounded sample."""
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # ids first, so that only the chosen rows' texts move
-    ids = learn.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS_PER_LANG)
-    chosen = learn.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), []
+    # a share of each language by a hash, three times what is needed, so that few rows leave their partition
+    draw = 1 << 30
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(draw, 3 * TRAIN_DOCS_PER_LANG * draw // r.n))])
     raw = F.col("text").cast("binary")
-    size = F.octet_length(raw)
-    last = F.greatest(F.lit(0), size - LENGTH)
+    last = F.greatest(F.lit(0), F.octet_length(raw) - LENGTH)
     pieces = F.array(*[F.substring(raw, (F.floor(last * k / max(1, TRAIN_WINDOWS - 1)) + 1).cast("int"), F.lit(LENGTH)) for k in range(TRAIN_WINDOWS)])
-    sample = chosen.select("lang", F.xxhash64("doc_id").alias("h"), F.array_distinct(pieces).alias("w"))
-    found = sample.orderBy("lang", "h", "w").limit(64 * TRAIN_DOCS_PER_LANG).collect()
+    drawn = learn.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(draw)) < F.element_at(share, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "w")
+    sample = drawn.select("lang", "h", "doc_id", F.array_distinct(pieces).alias("w")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS_PER_LANG)
+    found = sample.orderBy("lang", "r").select("lang", "w").collect()  # at most MAX_LANGS * TRAIN_DOCS_PER_LANG rows of TRAIN_WINDOWS * LENGTH bytes
     languages = sorted({r.lang for r in found})
     x = [bytes(w).ljust(LENGTH, b"\0") for r in found for w in r.w if has_letter(bytes(w).decode(errors="ignore"))]
     y = [languages.index(r.lang) for r in found for w in r.w if has_letter(bytes(w).decode(errors="ignore"))]
