@@ -169,6 +169,11 @@ def test_html_edges(spark):
     assert html_extract.op5_html(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<div>x ", "<p>x<span> ", "<ul><li>x ", "<b>x</i><p>", "<p><b>x</td>"])
+def test_html_many_unclosed_elements(unit):
+    assert html_extract.main_text(unit * 100_000).count("x") == 100_000  # hours if each element looked through all open ones
+
+
 # quality rules
 
 

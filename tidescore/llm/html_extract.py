@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, boilerplate, in an article, characters in links) of each block of text, in page order."""
     lines: list[tuple[str, bool, bool, int]] = []
     open_: list[tuple[str, bool, bool]] = []  # name, boilerplate, in article
+    held: Counter[str] = Counter()  # open elements by name; keeps pages with many unclosed elements linear
     parts: list[str] = []
     linked, links, muted = 0, 0, 0
 
@@ -89,12 +91,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 
     def close(name: str) -> None:
         nonlocal links, muted
-        if not any(x[0] == name for x in reversed(open_)):
+        if not held[name]:
             return
         if name in BLOCKS or any(x[0] in BLOCKS for x in open_[_last(open_, name) :]):
             end_line()
         while open_:
             got = open_.pop()[0]
+            held[got] -= 1
             links -= got == "a"
             muted -= got in RAW
             if got == name:
@@ -114,14 +117,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(x[0] == "p" for x in open_):
+            if name == "p" and not held["p"]:
                 end_line()
             close(name)
             continue
         if name in BLOCKS:
-            if name in CLOSES_P and open_ and any(x[0] == "p" for x in open_) and not _shielded(open_, "p"):
+            if name in CLOSES_P and held["p"] and not _shielded(open_, "p"):
                 _drop_p(open_, end_line)
-            if name == "li" and any(x[0] == "li" for x in open_) and not _shielded(open_, "li"):
+                held["p"] -= 1
+            if name == "li" and held["li"] and not _shielded(open_, "li"):
                 close("li")
             end_line()
         elif name == "br":
@@ -135,6 +139,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if name in ("html", "body", "article", "main"):
             bad = above[1] or "comment" in m[3].lower()
         open_.append((name, bad, inside))
+        held[name] += 1
         links += name == "a"
         muted += name in RAW
         if name in RAW_ENDS:
@@ -145,7 +150,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 
 
 def _last(open_: list, name: str) -> int:
-    return max(i for i, x in enumerate(open_) if x[0] == name)
+    return next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name)
 
 
 def _shielded(open_: list, name: str) -> bool:
