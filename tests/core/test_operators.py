@@ -75,6 +75,33 @@ def test_summaries(spark):
     assert {(r.level, r.completed, r.errors, r.p50_ms) for r in opened.collect()} == {(1, 2, 1, 1.999), (2, 0, 1, 0.0)}
 
 
+def test_sums_beyond_a_long(spark):
+    rows = spark.createDataFrame([(1, 2**62, True)] * 4, "level int, ns long, ok boolean")
+    assert stats.latencies(rows, "level", "ns").first().mean_ms == pytest.approx(2**62 / 1e6)
+    facts = spark.createDataFrame([(1, 2**62, 2**62, 2**62, 2**62, 0, False)] * 4, "n int, wait_ns long, run_ns long, lane_ns long, busy_ns long, idle_ns long, failed boolean")
+    got = stats.timing_stats(facts, []).first()
+    assert list(got) == pytest.approx([2**62 / 1e6] * 3 + [1.0])
+    assert stats.preprocess_stats(rows, ["level"], "ns", "ns", "ok").first().avg_decode_ms == pytest.approx(2**62 / 1e6)
+
+
+class RunSizes:
+    key = ("run sizes",)
+
+    def open(self):
+        return lambda x: np.full((len(x), 1), len(x), x.dtype)
+
+
+def test_runs_are_bounded_whatever_the_session_says(spark):
+    rows = spark.range(0, 100, 1, 1).selectExpr("id", "array(float(id)) AS v")
+    scored = scoring.score(rows, "v", RunSizes(), 1, 1, max_batch=32)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        sizes = [int(r.logits[0]) for r in scored.orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes == [32] * 64 + [6] * 6 + [30] * 30
+
+
 def test_result_tables(spark, tmp_path):
     row = {"concurrency": 16, "throughput_req_s": 342.125, "p50_ms": 0.25, "p95_ms": 1.0, "p99_ms": 2.0, "mean_ms": 0.5, "max_ms": 3.0, "gpu_util_avg_pct": 0.25, "gpu_util_max_pct": 99.0, "gpu_mem_max_mib": 512, "gpu_samples": 7, "errors": 0, "elapsed_sec": 1.0}
     frame = spark.createDataFrame([row, row | {"concurrency": 4}])

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidescore.functions import pixels
@@ -69,9 +69,11 @@ def split_logits(flat: np.ndarray, n: int, classes: int) -> np.ndarray:
 
 
 def score(rows: DataFrame, input_col: str, model, length: int, classes: int, dtype: str = "float32", max_batch: int = MAX_BATCH) -> DataFrame:
-    """rows plus logits and error. Rows with a null input or one of another length get an error and take no place in a run."""
-    spark: SparkSession = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, max_batch)))
+    """rows plus logits and error. Rows with a null input or one of another length get an error and take no place in a run.
+
+    An Arrow batch, bounded by Spark in bytes, is run in parts of up to max_batch rows, whatever the session's batch size.
+    """
+    most = max(1, max_batch)
     at = rows.columns.index(input_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"logits array<{'float' if dtype == 'float32' else 'double'}>", "error string"])
     kind = pa.float32() if dtype == "float32" else pa.float64()
@@ -84,13 +86,13 @@ def score(rows: DataFrame, input_col: str, model, length: int, classes: int, dty
             errors: list[str | None] = [None if s == length else f"input length {s}, want {length}" for s in sizes]
             good = np.flatnonzero(sizes == length)
             out: list[np.ndarray | None] = [None] * len(batch)
-            if len(good):
-                x = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, length)
+            for members in (good[s : s + most] for s in range(0, len(good), most)):
+                x = column.take(pa.array(members)).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, length)
                 try:
-                    for i, row in zip(good, split_logits(np.asarray(run(x)), len(good), classes), strict=True):
+                    for i, row in zip(members, split_logits(np.asarray(run(x)), len(members), classes), strict=True):
                         out[i] = row
                 except Exception:  # noqa: BLE001  a failed run fails its rows, not the job
-                    for i in good:
+                    for i in members:
                         errors[i] = "inference failed"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(kind)), pa.array(errors, pa.string())], [*batch.schema.names, "logits", "error"])
 
@@ -111,16 +113,16 @@ def decode(content: bytes | None, mode: str) -> np.ndarray:
 def preprocess_images(images: DataFrame, mode: str = "rounded", short_side: int = SHORT_SIDE, side: int = SIDE, batch_rows: int = MAX_BATCH) -> DataFrame:
     """images plus input (array<float>) and error, from Spark's image source columns, or from PNG bytes in a column content.
 
-    A row that can't be decoded keeps its place, with an error. Inputs are as wide as a picture, so batches are small.
+    A row that can't be decoded keeps its place, with an error. Inputs are as wide as a picture, so a batch is handed on in
+    parts of batch_rows rows.
     """
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     names = images.columns
     raw = "content" in names
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema), "input array<float>", "error string"])
     wanted = ["content"] if raw else ["height", "width", "nChannels", "data"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(s, batch_rows) for b in batches for s in range(0, b.num_rows, batch_rows)):
             out, errors = [], []
             for values in zip(*(batch.column(names.index(c)).to_pylist() for c in wanted), strict=True):
                 try:

@@ -11,21 +11,28 @@ from tidescore.operators.quantiles import quantiles
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
+def _wide_sum(column):
+    """The sum of whole numbers as a decimal, from two sums of longs: nanoseconds of a large table overflow one."""
+    value, part = F.col(column).cast("bigint") if isinstance(column, str) else column.cast("bigint"), 1 << 20
+    high, low = F.sum(F.shiftright(value, 20)).cast("decimal(20,0)"), F.sum(value.bitwiseAND(F.lit(part - 1))).cast("decimal(20,0)")
+    return high * F.lit(part).cast("decimal(7,0)") + low
+
+
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def _truncated_mean_ms(total, n):
+def _truncated_mean_ms(total: str, n: str):
     """The mean in whole nanoseconds, then whole microseconds, as milliseconds."""
-    return F.when(n > 0, ns_to_ms_by_us(F.floor(total / n).cast("bigint"))).otherwise(F.lit(0.0))
+    return F.when(F.col(n) > 0, ns_to_ms_by_us(F.expr(f"{total} div {n}"))).otherwise(F.lit(0.0))
 
 
 def latencies(rows: DataFrame, level: str, latency_ns: str) -> DataFrame:
     """(level, mean_ms, p50_ms, p95_ms, p99_ms, max_ms) over all rows of a level."""
     marks = quantiles(rows, level, latency_ns, list(QUANTILES.values()))
     wide = marks.groupBy(level).agg(*[F.max(F.when(F.col("q") == q, ns_to_ms_by_us(F.col(latency_ns)))).alias(name) for name, q in QUANTILES.items()])
-    totals = rows.groupBy(level).agg(F.sum(latency_ns).alias("_sum"), F.count(latency_ns).alias("_n"), F.max(latency_ns).alias("_max"))
-    return totals.join(wide, level).select(level, _truncated_mean_ms(F.col("_sum"), F.col("_n")).alias("mean_ms"), *QUANTILES, ns_to_ms_by_us(F.col("_max")).alias("max_ms"))
+    totals = rows.groupBy(level).agg(_wide_sum(latency_ns).alias("_sum"), F.count(latency_ns).alias("_n"), F.max(latency_ns).alias("_max"))
+    return totals.join(wide, level).select(level, _truncated_mean_ms("_sum", "_n").alias("mean_ms"), *QUANTILES, ns_to_ms_by_us(F.col("_max")).alias("max_ms"))
 
 
 def closed_loop(rows: DataFrame, level: str, latency_ns: str, ok: str, elapsed_sec: DataFrame) -> DataFrame:
@@ -54,7 +61,7 @@ def timing_stats(batches: DataFrame, by: list[str]) -> DataFrame:
 
     Batches that failed count in the numbers of requests and batches, not in the times of runs. Group by a reset's epoch to start anew.
     """
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    total = lambda c: F.coalesce(_wide_sum(c).cast("double"), F.lit(0.0))
     good = F.when(~F.col("failed"), F.col("run_ns"))
     return batches.groupBy(*by).agg(
         _ratio(total("wait_ns"), F.sum("n") * 1e6).alias("avg_queue_wait_ms"), _ratio(total(good), F.count(F.lit(1)) * 1e6).alias("avg_infer_run_ms"),
@@ -65,7 +72,7 @@ def timing_stats(batches: DataFrame, by: list[str]) -> DataFrame:
 def preprocess_stats(rows: DataFrame, by: list[str], decode_ns: str, normalise_ns: str, ok: str) -> DataFrame:
     """Mean decode and normalise ms and the count, of successes only."""
     n = F.count_if(F.col(ok))
-    mean = lambda c: _ratio(F.coalesce(F.sum(F.when(F.col(ok), F.col(c))), F.lit(0)).cast("double"), n * 1e6)
+    mean = lambda c: _ratio(F.coalesce(_wide_sum(F.when(F.col(ok), F.col(c))).cast("double"), F.lit(0.0)), n * 1e6)
     return rows.groupBy(*by).agg(mean(decode_ns).alias("avg_decode_ms"), mean(normalise_ns).alias("avg_normalize_ms"), n.alias("preproc_count"))
 
 
