@@ -85,16 +85,18 @@ def score(rows: DataFrame, input_col: str, model, length: int, classes: int, dty
             sizes = np.asarray(column.value_lengths().fill_null(0))
             errors: list[str | None] = [None if s == length else f"input length {s}, want {length}" for s in sizes]
             good = np.flatnonzero(sizes == length)
-            out: list[np.ndarray | None] = [None] * len(batch)
+            done, ok = [np.zeros((0, classes))], np.zeros(len(batch), bool)
             for members in (good[s : s + most] for s in range(0, len(good), most)):
                 x = column.take(pa.array(members)).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, length)
                 try:
-                    for i, row in zip(members, split_logits(np.asarray(run(x)), len(members), classes), strict=True):
-                        out[i] = row
+                    done.append(split_logits(np.asarray(run(x)), len(members), classes))
+                    ok[members] = True
                 except Exception:  # noqa: BLE001  a failed run fails its rows, not the job
                     for i in members:
                         errors[i] = "inference failed"
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(kind)), pa.array(errors, pa.string())], [*batch.schema.names, "logits", "error"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(ok) * classes]), pa.int32())
+            logits = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(done).ravel().astype(kind.to_pandas_dtype())), mask=pa.array(~ok))
+            yield pa.RecordBatch.from_arrays([*batch.columns, logits, pa.array(errors, pa.string())], [*batch.schema.names, "logits", "error"])
 
     return rows.mapInArrow(work, schema)
 
