@@ -162,6 +162,22 @@ def test_html_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>a</p><section id="related-work"><h2 id="market-share">b</h2><p>c</p></section><div id="search-algorithms">d</div></article>', "a\n\nb\n\nc\n\nd"),
+        ('<article><section id="search"><h2 id="comments">a</h2><p id="share">b</p></section></article>', "a\n\nb"), ('<div class="layout has-sidebar"><article>a</article></div>', "a"),
+        ('<div id="no-sidebar"><main>a</main></div>', "a"), ('<div class="page search"><div class="sidebar">s</div><article>a</article></div>', "a"), ('<div class="related"><main>a</main></div>', "a"),
+        ('<body class="single comments-open"><article>a</article></body>', "a"), ('<main data-comment-count="3">a</main>', "a"), ("<form id=f><input><main>a</main></form>", "a"),
+        ('<p>a</p><div data-class="ad" title="a class=ad b" data-hidden>b</div>', "a\n\nb"), ("<head><title>t</title><body><p>a</p>", "a"),
+        ('<main><p>a</p><div class="x Sidebar">s</div><div id=comments><article>c</article></div><article class="comment">c</article><div aria-hidden=true>h</div><aside><article>n</article></aside></main>', "a"),
+        ('<article>a</article><div class="related-posts"><article>r</article></div><div class="ad-slot"><article>s</article></div>', "a"), ('<div style="display: none"><main>a</main></div>b', "b"),
+    ],
+)
+def test_html_marks(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_edges(spark):
     rows = [(None, None, None, "c"), (1, "u", "<p>" + "a " * 300_000, "c"), (1, "u", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

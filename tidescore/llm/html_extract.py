@@ -1,8 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 1. Markup is stripped: the page becomes lines, one for each block of text; scripts, styles, forms and other elements that
-   never hold article text lose theirs, and lines of menus, footers, adverts, notices, sidebars and comments count as
-   length zero, as do lines outside an article element where the page has one.
+   never hold article text lose theirs, and lines of menus, footers, adverts, notices, sidebars and comments, known by
+   element or by whole class, id and role names, count as length zero, as do lines outside an article element where the page has one.
 2. The lengths of each window of WINDOW lines are summed.
 3. Surge points are where a sum rises from zero, dive points where it falls back to zero. Where the page names its article
    every such stretch is kept; else the stretch with the most text, with stretches that lie close and hold a like share.
@@ -42,32 +42,59 @@ BLOCKS = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "body", "html", "head"}
-#: Words in a class, id or role that mark an element as boilerplate.
+#: Whole class, id or role names of adverts, comments and links to other pages: these mark articles in them too.
+MARKS_ALL = re.compile(
+    r"(?:ads?|advert(?:s|isements?|ising)?|ads?[_-](?:banner|block|box|container|slot|unit|wrapper|label|\d+)|adsense|adsbygoogle|sponsor(?:s|ed)?|sponsored[_-](?:content|links?|posts?)|promo(?:s|ted|tions?)?|promo[_-](?:box|banner)|"
+    r"comments?|commentlist|comments?[_-](?:list|body|form|area|section|respond|\d+)|respond|disqus|disqus_thread|repl(?:y|ies)|related|related[_-](?:posts?|articles?|links|stories)|recommend(?:ed|ations?)|recommended[_-](?:posts?|articles?|links|stories))",
+    re.I,
+)
+#: Whole names of other boilerplate; a page's wrapper may have them, so articles in it are not marked.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|comment|comments|commentlist|respond|disqus|reply|replies|sidebar|side-bar|cookie\w*|consent|notice|notices|alert|popup|modal|"
-    r"newsletter|subscribe|nav|navbar|navigation|menu|breadcrumb\w*|footer|share|sharing|social|related|recommend\w*|login|signup|search|complementary|contentinfo|hidden)(?=$|[\s_-])",
+    r"(?:banner|sidebar|side-bar|cookies?|cookie-?(?:notice|banner|bar|consent|popup|message)|consent|notices?|alert|popup|modal|newsletter|subscribe|newsletter[_-](?:box|form|signup)|nav|navbar|navigation|menu|"
+    r"(?:main|site|top|primary|secondary|footer)[_-](?:nav|navigation|menu)|breadcrumbs?|footer|(?:site|page)[_-]footer|share|sharing|social|(?:share|sharing|social)[_-](?:buttons?|links|icons|bar)|"
+    r"login|signup|search|(?:login|signup|search)[_-](?:form|box|bar)|complementary|contentinfo|hidden)",
     re.I,
 )
+#: Elements whose id is judged; ids of headings, paragraphs and inline elements name places in a text.
+IDS = {"div", "section", "header", "ul", "ol", "dl", "table", "td"}
+#: How far a mark reaches: not at all, down to an article or main, down to a main, to all that an element contains.
+PLAIN, WRAPPER, CLOSED, HIDDEN = range(4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def is_marked(name: str, attributes: str) -> bool:
-    for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        what = m[1].lower()
-        if what in ("class", "id", "role") and MARKS.search(value):
-            return True
-        if what == "hidden" or what == "aria-hidden" and value == "true" or what == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+def attributes_of(tag: str) -> dict[str, str]:
+    """Attributes by lower-case name; of one that repeats, the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def mark_of(name: str, tag: str, inside: bool) -> int:
+    """How far an element's attributes mark what it contains; inside: it stands in an article or main."""
+    has = attributes_of(tag)
+    if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", has.get("style", ""), re.I):
+        return HIDDEN
+    classes = has.get("class", "").split()
+    names = classes + has.get("role", "").split()
+    if name in IDS and not (inside and (name == "section" or "section" in classes)):
+        names += has.get("id", "").split()
+    if any(map(MARKS_ALL.fullmatch, names)):
+        return CLOSED
+    return WRAPPER if any(map(MARKS.fullmatch, names)) else PLAIN
+
+
+def is_comment(tag: str) -> bool:
+    has = attributes_of(tag)
+    return any(x.lower() in ("comment", "comments", "comment-body") for x in (has.get("class", "") + " " + has.get("id", "")).split())
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, boilerplate, in an article, characters in links) of each block of text, in page order."""
     lines: list[tuple[str, bool, bool, int]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, boilerplate, in article
+    open_: list[tuple[str, int, bool]] = []  # name, mark, in article
     held: Counter[str] = Counter()  # open elements by name; keeps pages with many unclosed elements linear
     parts: list[str] = []
     linked, links, muted = 0, 0, 0
@@ -76,8 +103,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = open_[-1] if open_ else ("", False, False)
-            lines.append((text, top[1], top[2], linked))
+            top = open_[-1] if open_ else ("", PLAIN, False)
+            lines.append((text, top[1] > PLAIN, top[2], linked))
         parts.clear()
         linked = 0
 
@@ -132,13 +159,19 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             parts.append("\n")
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        above = open_[-1] if open_ else ("", False, False)
+        above = open_[-1] if open_ else ("", PLAIN, False)
         inside = above[2] or name in ("article", "main")
-        plain = name in ("html", "body", "article", "main", "p", "h1", "b", "i", "em", "strong", "a", "span")
-        bad = above[1] or name in BOILERPLATE or name == "header" and not inside or not (plain and name != "span" and not m[3]) and is_marked(name, m[3])
-        if name in ("html", "body", "article", "main"):
-            bad = above[1] or "comment" in m[3].lower()
-        open_.append((name, bad, inside))
+        if name in ("html", "body"):
+            mark = above[1] if held[name] else PLAIN
+        elif name == "main":
+            mark = above[1] if above[1] == HIDDEN else PLAIN
+        elif name == "article":
+            mark = CLOSED if is_comment(m[3]) else PLAIN
+            mark = max(mark, above[1]) if above[1] >= CLOSED else mark
+        else:
+            own = CLOSED if name in BOILERPLATE and name != "form" else WRAPPER if name == "form" or name == "header" and not inside else PLAIN
+            mark = max(above[1], own, mark_of(name, m[3], inside) if m[3] else PLAIN)
+        open_.append((name, mark, inside))
         held[name] += 1
         links += name == "a"
         muted += name in RAW
