@@ -178,6 +178,22 @@ def test_html_marks(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG, END = "long text " * 100 + "end", "The closing paragraph. " * 6 + "end"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div id=content><p>{LONG}</p><div class=ad>x</div><div class=ad>y</div><div class=ad>z</div><p>{END}</p></div>", f"{LONG}\n\n{END}"),
+        ("<p>a <a href=x>a long link</a></p><p><a href=x>all of it</a></p><ul><li><a href=x>one</a></li></ul>", "a a long link\n\nall of it\n\none"),
+        (f"<div id=content><p>{LONG}</p></div><article class=card>teaser</article>", f"{LONG}\n\nteaser"), (f"<div>about</div><article><p>{LONG}</p></article>", LONG),
+        (f"<main><p>a</p></main><div>{END}</div>", "a"), ("<ul><li><a href=x>one</a></li></ul>", "one"), ("<ul><li><a href=x>one</a></li><li>two <a href=x>b</a></li></ul>", "two b"),
+    ],
+)
+def test_html_keeps_all_unmarked_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_edges(spark):
     rows = [(None, None, None, "c"), (1, "u", "<p>" + "a " * 300_000, "c"), (1, "u", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

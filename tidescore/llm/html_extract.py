@@ -2,10 +2,11 @@
 
 1. Markup is stripped: the page becomes lines, one for each block of text; scripts, styles, forms and other elements that
    never hold article text lose theirs, and lines of menus, footers, adverts, notices, sidebars and comments, known by
-   element or by whole class, id and role names, count as length zero, as do lines outside an article element where the page has one.
+   element or by whole class, id and role names, go, as do lines outside main and article elements where the page has a
+   main, or articles that hold most of the unmarked text.
 2. The lengths of each window of WINDOW lines are summed.
-3. Surge points are where a sum rises from zero, dive points where it falls back to zero. Where the page names its article
-   every such stretch is kept; else the stretch with the most text, with stretches that lie close and hold a like share.
+3. Surge points are where a sum rises from zero, dive points where it falls back to zero. Every such stretch is kept.
+   Where the page names no main part, list items of links alone before its first other text are a menu and go too.
 4. The lines with a length between surge and dive are the text, joined by blank lines.
 
 Defined cases: null or empty html gives the empty text; unclosed elements end with their parent or the page; character
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,6 @@ from pyspark.sql import functions as F
 from tidescore.llm import common
 
 WINDOW = 3
-#: Without an article element: a stretch joins the largest one if it holds this share of its text.
-SHARE = 0.2
-#: Without an article element: lines with more than this share of their text in links count as zero.
-MOST_LINKED = 0.5
 
 # Names of HTML elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "math", "canvas", "object", "select", "option", "button", "xmp", "noframes"}
@@ -91,30 +89,37 @@ def is_comment(tag: str) -> bool:
     return any(x.lower() in ("comment", "comments", "comment-body") for x in (has.get("class", "") + " " + has.get("id", "")).split())
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, boilerplate, in an article, characters in links) of each block of text, in page order."""
-    lines: list[tuple[str, bool, bool, int]] = []
-    open_: list[tuple[str, int, bool]] = []  # name, mark, in article
+class Line(NamedTuple):
+    text: str
+    bad: bool  # boilerplate
+    article: bool  # in an article element
+    main: bool  # in a main element
+    menu: bool  # a list item of links alone
+
+
+def lines_of(page: str) -> list[Line]:
+    """Each block of text, in page order."""
+    lines: list[Line] = []
+    open_: list[tuple[str, int, bool, bool]] = []  # name, mark, in article, in main
     held: Counter[str] = Counter()  # open elements by name; keeps pages with many unclosed elements linear
     parts: list[str] = []
-    linked, links, muted = 0, 0, 0
+    bare, links, muted = False, 0, 0  # bare: the line has text outside links
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal bare
         text = " ".join("".join(parts).split())
         if text:
-            top = open_[-1] if open_ else ("", PLAIN, False)
-            lines.append((text, top[1] > PLAIN, top[2], linked))
+            top = open_[-1] if open_ else ("", PLAIN, False, False)
+            lines.append(Line(text, top[1] > PLAIN, top[2], top[3], held["li"] > 0 and not held["p"] and not bare))
         parts.clear()
-        linked = 0
+        bare = False
 
     def say(text: str) -> None:
-        nonlocal linked
+        nonlocal bare
         if text and not muted:
             text = html_lib.unescape(text)
             parts.append(text)
-            if links:
-                linked += len(text.strip())
+            bare = bare or not links and not text.isspace()
 
     def close(name: str) -> None:
         nonlocal links, muted
@@ -141,6 +146,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if not m[2]:
             if m[0].startswith("<![CDATA["):
                 parts.append("" if muted else m[0][9:].removesuffix("]]>"))
+                bare = bare or not links
             continue
         name = m[2].lower()
         if m[1]:
@@ -159,8 +165,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             parts.append("\n")
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        above = open_[-1] if open_ else ("", PLAIN, False)
-        inside = above[2] or name in ("article", "main")
+        above = open_[-1] if open_ else ("", PLAIN, False, False)
+        article, main = above[2] or name == "article", above[3] or name == "main"
+        inside = article or main
         if name in ("html", "body"):
             mark = above[1] if held[name] else PLAIN
         elif name == "main":
@@ -171,7 +178,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         else:
             own = CLOSED if name in BOILERPLATE and name != "form" else WRAPPER if name == "form" or name == "header" and not inside else PLAIN
             mark = max(above[1], own, mark_of(name, m[3], inside) if m[3] else PLAIN)
-        open_.append((name, mark, inside))
+        open_.append((name, mark, article, main))
         held[name] += 1
         links += name == "a"
         muted += name in RAW
@@ -216,14 +223,16 @@ def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(common.text_of(page))
-    named = any(inside and not bad for _, bad, inside, _ in lines)
-    lengths = np.array([0 if bad or (named and not inside) or (not named and linked > MOST_LINKED * len(text)) else len(text) for text, bad, inside, linked in lines], np.int64)
-    found = stretches(lengths)
-    if not named and len(found) > 1:
-        mass = [int(lengths[a:b].sum()) for a, b in found]
-        found = [x for x, n in zip(found, mass, strict=True) if n >= SHARE * max(mass)]
-    return "\n\n".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
+    lines = [x for x in lines_of(common.text_of(page)) if not x.bad]
+    in_main = any(x.main for x in lines)
+    in_article = sum(len(x.text) for x in lines if x.article)
+    if in_main or 2 * in_article > sum(len(x.text) for x in lines):
+        lines = [x for x in lines if x.main or x.article]
+    else:
+        first = next((i for i, x in enumerate(lines) if not x.menu), 0)
+        lines = lines[first:]
+    lengths = np.array([len(x.text) for x in lines], np.int64)
+    return "\n\n".join(lines[i].text for a, b in stretches(lengths) for i in range(a, b))
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_cols=("page_id", "url")) -> DataFrame:
