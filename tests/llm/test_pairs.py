@@ -89,6 +89,15 @@ def test_keep_one_of_each(spark):
     assert sorted(map(str, (tuple(r) for r in simhash.keep_one_of_each(docs).collect()))) == sorted(map(str, [(1, "a b", "x"), (3, "c", None), (None, "d", "z")]))
 
 
+def test_keep_one_of_each_by_row(spark):
+    rows = [(None, t, None) for t in ("a", "b c", "b  c", "d", None)] + [(None, "a", None), (4, "e", "x"), (4, "f", "x"), (5, "f", "y"), (None, "e", "y"), (6, "g", None), (6, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in simhash.keep_one_of_each(docs).collect()]
+    fps = [simhash.fingerprint(t) for _, t, _ in got]
+    assert sorted(fps) == sorted({simhash.fingerprint(t) for _, t, _ in rows})  # one of each; no two of these lie within 4 bits
+    assert {(4, "e", "x"), (4, "f", "x"), (6, None, "g"), (6, "g", None)} <= set(got) <= set(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
     got = dict(map(tuple, common.connected_components(edges, "a", "b").collect()))

@@ -136,6 +136,20 @@ def test_mix(spark, sf, which):
     assert words == {s: n for s, n in taken.items() if n}
 
 
+def test_mix_by_row(spark):
+    rows = [(None, f"w{i} " * (1 + i % 5), "a") for i in range(40)] + [(7, "x " * 9, "a"), (7, "y " * 2, "a"), (8, "z z z", "b"), (8, "z z z", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, words = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source, r.doc_id] += r.taken
+    mixed = mixing.mixed_documents(docs).collect()
+    for r in mixed:
+        words[r.source, r.doc_id] += len(WORD.findall(r.text))
+    assert words == +taken
+    cut = [r for r in mixed if tuple(r) not in rows]
+    assert len(cut) <= 2 and len({r.text for r in mixed if r.doc_id is None and r not in cut}) > 20
+
+
 # HTML
 
 

@@ -32,6 +32,13 @@ def crc_mod_py(value, modulus: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % modulus
 
 
+def row_hashes(docs: DataFrame) -> dict:
+    """_h1, _h2: 128 bits of hash of a row's columns (maps aside), which tell rows apart whatever their ids."""
+    names = [c for c, kind in docs.dtypes if "map<" not in kind]
+    parts = [F.col(f"`{c}`") for c in names] + [F.isnull(f"`{c}`") for c in names]  # xxhash64 skips nulls
+    return {f"_h{k}": F.xxhash64(F.lit(k), *parts) for k in (1, 2)}
+
+
 def bounds(keys: list[np.ndarray]) -> np.ndarray:
     """Starts of the runs of equal rows in columns that are sorted together, and the end."""
     n = len(keys[0])

@@ -46,12 +46,12 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return levels.select("source", "source_size", target.alias("target")).withColumn("budget", F.floor(F.col("target") + 0.5).cast("bigint"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and columns more, which order rows of one id and size."""
     common.prepare(docs.sparkSession)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")).cast("binary"))
     sized = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *more)
         .withColumn("key", key)
         .withColumn("part", F.substring("key", 1, RANGE_DIGITS))
         .checkpoint()
@@ -63,13 +63,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
         .select(F.col("r.source").alias("s"), F.col("part").alias("p"), "offset", "source_size", "target", "budget")
     )
-    inside = Window.partitionBy("source", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(plan, placed["source"].eqNullSafe(plan["s"]) & (placed["part"] == plan["p"]))
     passes = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - passes * F.col("source_size") - F.col("offset") - F.col("ahead")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *more)
 
 
 def op4_mix(docs: DataFrame) -> DataFrame:
@@ -79,11 +79,14 @@ def op4_mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each pass that takes it; the one at its source's cut ends with the last word taken.
 
-    Documents without words stay out: a mix of words takes none of them. Rows that repeat an id share that id's counts evenly, whole copies first.
+    Documents without words stay out: a mix of words takes none of them. Each row has its own counts, whatever its id; of rows equal in all columns, one stands for all and has their sum.
     """
-    counts = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
-    counts = counts.where("_taken > 0").withColumn("_taken", F.ceil(F.col("_taken") / F.col("_rows"))).drop("_rows")
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    hashed = docs.withColumns(common.row_hashes(docs))
+    taken = mix(hashed, more=("_h1", "_h2")).groupBy(F.col("doc_id").alias("_id"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"))
+    counts = taken.agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows")).where("_taken > 0").checkpoint()
+    joined = hashed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
+    if not counts.where("_rows > 1").isEmpty():
+        joined = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id", "_h1", "_h2"]))
     copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     whole = words >= F.col("_size")

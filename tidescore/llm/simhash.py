@@ -59,16 +59,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp holds the unsigned fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, and columns more of longs): fp holds the unsigned fingerprint's bits as a long."""
     kind = docs.schema[id_col].dataType.simpleString()
+    kinds = "".join(f", {c} bigint" for c in more)
 
     def work(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["id", "fp", *more])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(work, f"id {kind}, fp bigint{kinds}")
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -114,13 +115,18 @@ def links(distinct: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
     return runs.mapInArrow(lambda it: common.sorted_runs(it, keys, compare), "a bigint, b bigint")
 
 
+def with_roots(distinct: DataFrame, limit: int) -> DataFrame:
+    """distinct, with root, the smallest fingerprint that links reach from fp."""
+    found = common.connected_components(links(distinct.select("fp"), limit), "a", "b")
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = POSTING_LIMIT) -> DataFrame:
     """One row per row of docs: its id, fp, and component_id, the smallest id that links reach."""
     common.prepare(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    found = common.connected_components(links(distinct.select("fp"), limit), "a", "b")
-    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")).checkpoint()
+    roots = with_roots(distinct, limit).checkpoint()
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -131,12 +137,16 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's; of rows that repeat such an id, one row."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).checkpoint()
-    ids = kept.select(F.col("doc_id").alias("_id"), "_rows")
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("_rows = 1").drop("_id", "_rows")
+def keep_one_of_each(docs: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
+    """One row of each component: that with the smallest id, null ids last; of rows that share it, the one with the smallest hash."""
+    common.prepare(docs.sparkSession)
+    hashed = docs.withColumns(common.row_hashes(docs))
+    marked = fingerprints(hashed, more=("_h1", "_h2")).groupBy("fp", "id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.struct(F.isnull("id").alias("none"), F.col("id").alias("_id"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_rows")
+    distinct = marked.groupBy("fp").agg(F.min(place).alias("first")).checkpoint()
+    kept = with_roots(distinct, limit).groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("none").checkpoint()
+    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
+    once = joined.where("_rows = 1").select(*docs.columns)
     if kept.where("_rows > 1").isEmpty():
         return once
-    return once.unionByName(joined.where("_rows > 1").drop("_id", "_rows").dropDuplicates(["doc_id"]))
+    return once.unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns))
