@@ -1,13 +1,13 @@
-"""Main text of HTML pages by line-block distribution.
+"""Main text of HTML pages by rules on elements and on class, id and role names.
 
 1. Markup is stripped: the page becomes lines, one for each block of text; scripts, styles, forms and other elements that
    never hold article text lose theirs, and lines of menus, footers, adverts, notices, sidebars and comments, known by
-   element or by whole class, id and role names, go, as do lines outside main and article elements where the page has a
-   main, or articles that hold most of the unmarked text.
-2. The lengths of each window of WINDOW lines are summed.
-3. Surge points are where a sum rises from zero, dive points where it falls back to zero. Every such stretch is kept.
-   Where the page names no main part, list items of links alone before its first other text are a menu and go too.
-4. The lines with a length between surge and dive are the text, joined by blank lines.
+   element or by whole class, id and role names, go.
+2. Where the page has a main, or articles that hold most of the unmarked text, lines outside main and article elements go.
+   Else list items of links alone before the first other text are a menu and go.
+3. All other lines are the text, joined by blank lines.
+
+No distribution of line lengths decides: the README says why, with figures.
 
 Defined cases: null or empty html gives the empty text; unclosed elements end with their parent or the page; character
 references are decoded once; very long pages are read whole, in one pass; extra columns are ignored.
@@ -20,15 +20,12 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidescore.llm import common
 
-WINDOW = 3
-
 # Names of HTML elements.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "math", "canvas", "object", "select", "option", "button", "xmp", "noframes"}
 RAW_ENDS = {"script", "style", "textarea", "title", "xmp", "iframe", "noframes"}
@@ -210,18 +207,6 @@ def _drop_p(open_: list, end_line) -> None:
     del open_[i]
 
 
-def stretches(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch of lines with a positive window sum; a window is a line and those after it."""
-    if not len(lengths):
-        return []
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    ends = np.minimum(np.arange(len(lengths)) + window, len(lengths))
-    sums = total[ends] - total[:-1]
-    up = (sums > 0).astype(np.int8)
-    step = np.diff(np.concatenate([[0], up, [0]]))
-    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
-
-
 def main_text(page: str | None) -> str:
     lines = [x for x in lines_of(common.text_of(page)) if not x.bad]
     in_main = any(x.main for x in lines)
@@ -231,8 +216,7 @@ def main_text(page: str | None) -> str:
     else:
         first = next((i for i, x in enumerate(lines) if not x.menu), 0)
         lines = lines[first:]
-    lengths = np.array([len(x.text) for x in lines], np.int64)
-    return "\n\n".join(lines[i].text for a, b in stretches(lengths) for i in range(a, b))
+    return "\n\n".join(x.text for x in lines)
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_cols=("page_id", "url")) -> DataFrame:
