@@ -361,6 +361,16 @@ def test_language_held_out(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    rows = [(9 * i + k, f"{chr(0x4E00 + i)}{chr(97 + i % 26)} " * 50, f"l{i}") for i in range(70) for k in range(8 if i < 64 else 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, y, languages = language_id.training_rows(docs)
+    assert languages == sorted({r[2] for r in rows}) and set(y.tolist()) == set(range(70))
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 40, raising=False)
+    x, y, languages = language_id.training_rows(docs)
+    assert len(languages) == 70 and len(x) <= 70 * language_id.TRAIN_WINDOWS and set(y.tolist()) == set(range(70))
+
+
 def test_language_edges(spark):
     docs = odd_documents(spark)
     rows = language_id.op8_language_id(docs).collect()

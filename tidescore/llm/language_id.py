@@ -4,8 +4,8 @@ Text bytes are cut into fixed-length windows. Each byte has an embedding; filter
 the maximum over places of each filter passes a rectifier, and a softmax layer gives the languages. A document's
 probabilities are the softmax of its windows' mean logits, so the whole text counts.
 
-Training takes at most TRAIN_DOCS_PER_LANG labelled documents of each of at most MAX_LANGS languages, chosen by a hash among those
-whose crc32(id) mod 4 is not 2, and at most TRAIN_WINDOWS windows of each, spread evenly over the text. Both are
+Training takes every language, and of each at most TRAIN_DOCS_PER_LANG labelled documents, or its part of TRAIN_DOCS where there are
+many languages (one at least), chosen by a hash among those whose crc32(id) mod 4 is not 2, and at most TRAIN_WINDOWS windows of each, spread evenly over the text. Both are
 parameters of the fit alone; prediction reads every byte.
 
 Defined cases: null text and text without a letter are `und` with score 0; without training rows every text is `und`;
@@ -29,8 +29,10 @@ FILTERS = 12
 EMBEDDING = 8
 TRAIN_DOCS_PER_LANG = 600
 TRAIN_WINDOWS = 4
-#: Languages learned, the most frequent ones.
-MAX_LANGS = 64
+#: Documents learned from in all, shared by the languages; reached from 64 languages on.
+TRAIN_DOCS = 64 * TRAIN_DOCS_PER_LANG
+#: Documents of a language that the draw below aims at three times of at the least, so that it never misses a language.
+LEAST_DRAWN = 12
 EPOCHS = 12
 BATCH = 64
 RATE = 0.01
@@ -172,22 +174,24 @@ class Network:
 def training_rows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, language numbers and languages of the bounded sample."""
     learn = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (common.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS).collect()
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language, as the network's last layer
     if not counts:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), []
     # a share of each language by a hash, three times what is needed, so that few rows leave their partition
     draw = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(draw, 3 * TRAIN_DOCS_PER_LANG * draw // r.n))])
+    most = min(TRAIN_DOCS_PER_LANG, max(1, TRAIN_DOCS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(draw, 3 * max(most, LEAST_DRAWN) * draw // r.n)) for r in counts], "lang string, share long")
     raw = F.col("text").cast("binary")
     last = F.greatest(F.lit(0), F.octet_length(raw) - LENGTH)
     pieces = F.array(*[F.substring(raw, (F.floor(last * k / max(1, TRAIN_WINDOWS - 1)) + 1).cast("int"), F.lit(LENGTH)) for k in range(TRAIN_WINDOWS)])
-    drawn = learn.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(draw)) < F.element_at(share, F.col("lang")))
+    drawn = learn.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(draw)) < F.col("share"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "w")
-    sample = drawn.select("lang", "h", "doc_id", F.array_distinct(pieces).alias("w")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS_PER_LANG)
-    found = sample.orderBy("lang", "r").select("lang", "w").collect()  # at most MAX_LANGS * TRAIN_DOCS_PER_LANG rows of TRAIN_WINDOWS * LENGTH bytes
+    sample = drawn.select("lang", "h", "doc_id", F.array_distinct(pieces).alias("w")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    found = sample.orderBy("lang", "r").select("lang", "w").collect()  # at most TRAIN_DOCS rows, or one a language, of TRAIN_WINDOWS * LENGTH bytes
     languages = sorted({r.lang for r in found})
+    number = {lang: i for i, lang in enumerate(languages)}
     x = [bytes(w).ljust(LENGTH, b"\0") for r in found for w in r.w if has_letter(bytes(w).decode(errors="ignore"))]
-    y = [languages.index(r.lang) for r in found for w in r.w if has_letter(bytes(w).decode(errors="ignore"))]
+    y = [number[r.lang] for r in found for w in r.w if has_letter(bytes(w).decode(errors="ignore"))]
     return np.frombuffer(b"".join(x), np.uint8).reshape(-1, LENGTH), np.array(y, np.int64), languages
 
 
