@@ -75,6 +75,21 @@ def test_summaries(spark):
     assert {(r.level, r.completed, r.errors, r.p50_ms) for r in opened.collect()} == {(1, 2, 1, 1.999), (2, 0, 1, 0.0)}
 
 
+def test_stats_document(spark):
+    import json
+
+    facts = spark.createDataFrame([("a", 4, 8_000_000, 2_000_000, 3_000_000, 3_000_000, 1_000_000, False), ("a", 2, 1_000_000, 0, 0, 1_000_000, 0, True)], "k string, n int, wait_ns long, run_ns long, lane_ns long, busy_ns long, idle_ns long, failed boolean")
+    rejects = spark.createDataFrame([("a", 5), (None, 7)], "k string, rejects long")
+    decoded = spark.createDataFrame([("a", 2.0, 1.0, 9)], "k string, avg_decode_ms double, avg_normalize_ms double, preproc_count long")
+    base = {"avg_batch_size": 3.0, "avg_infer_run_ms": 1.0, "avg_queue_wait_ms": 1.5, "avg_runbatch_ms": 1.5, "batches": 2, "collector_busy_frac": 0.8, "rejects": 5, "requests": 6}
+    gpu, cpu = {"avg_gpu_decode_ms": 2.0, "avg_cpu_normalize_ms": 1.0}, {"avg_cpu_decode_ms": 2.0, "avg_cpu_resize_normalize_ms": 1.0}
+    for given, keys in (({}, {}), ({"gpu": decoded}, gpu | {"preproc_count": 9}), ({"cpu": decoded}, cpu | {"preproc_count": 9}), ({"gpu": decoded, "cpu": decoded.withColumn("preproc_count", F.lit(3))}, gpu | cpu | {"preproc_count": 3})):
+        got = {r.k: json.loads(r.document) for r in stats.stats_document(facts, rejects, ["k"], **given).collect()}
+        assert got["a"] == base | keys and list(got["a"]) == sorted(got["a"])
+        assert got[None] == dict.fromkeys(base | keys, 0) | {"rejects": 7}
+    assert json.loads(stats.stats_document(facts.limit(0), rejects.agg(F.sum("rejects").alias("rejects")), []).first().document)["rejects"] == 12
+
+
 def test_sums_beyond_a_long(spark):
     rows = spark.createDataFrame([(1, 2**62, True)] * 4, "level int, ns long, ok boolean")
     assert stats.latencies(rows, "level", "ns").first().mean_ms == pytest.approx(2**62 / 1e6)

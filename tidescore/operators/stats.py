@@ -76,6 +76,26 @@ def preprocess_stats(rows: DataFrame, by: list[str], decode_ns: str, normalise_n
     return rows.groupBy(*by).agg(mean(decode_ns).alias("avg_decode_ms"), mean(normalise_ns).alias("avg_normalize_ms"), n.alias("preproc_count"))
 
 
+def stats_document(batches: DataFrame, rejects: DataFrame, by: list[str], gpu: DataFrame | None = None, cpu: DataFrame | None = None) -> DataFrame:
+    """by and document: the /stats JSON, its keys in order, from batches as timing_stats takes them and by's count of rejects.
+
+    gpu and cpu are preprocess_stats by the same columns; a decoder that isn't given has no keys, and of two the CPU's count stands.
+    A group that a part doesn't have counts zero there.
+    """
+    parts = [batch_stats(batches, by), timing_stats(batches, by), rejects.select(*by, "rejects")]
+    if gpu is not None:
+        count = [] if cpu is not None else ["preproc_count"]
+        parts.append(gpu.select(*by, F.col("avg_decode_ms").alias("avg_gpu_decode_ms"), F.col("avg_normalize_ms").alias("avg_cpu_normalize_ms"), *count))
+    if cpu is not None:
+        parts.append(cpu.select(*by, F.col("avg_decode_ms").alias("avg_cpu_decode_ms"), F.col("avg_normalize_ms").alias("avg_cpu_resize_normalize_ms"), "preproc_count"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    names = sorted(c for c in rows.columns if c not in by)
+    one = rows.groupBy(*by).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
+    return one.select(*by, F.to_json(F.struct(*names)).alias("document"))
+
+
 def meter_summary(samples: DataFrame, by: list[str], util: str, mem: str) -> DataFrame:
     """util_avg, util_max, mem_max and count of a meter's samples; zeros where there is none."""
     zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t)

@@ -383,6 +383,25 @@ def preprocess_stats(spark, d):
     return out.select("event_type", F.round("avg_decode_ms", 6).alias("avg_decode_ms"), F.round("avg_normalize_ms", 6).alias("avg_normalize_ms"), "preproc_count")
 
 
+STATS_FIELDS = ("avg_batch_size", *TIMINGS, "avg_cpu_decode_ms", "avg_cpu_resize_normalize_ms")
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, {ORDERED}, {BATCHED}, {FACTS}, {ADMITTED.replace("walk", "gate")},
+t AS (SELECT event_type, count(*) AS batches, CAST(sum(n) AS BIGINT) AS requests, round(sum(n) / count(*), 6) AS avg_batch_size, {TIMING_SQL} FROM facts GROUP BY event_type),
+r AS (SELECT event_type, count(*) FILTER (NOT admitted) AS rejects FROM gate GROUP BY event_type),
+p AS (SELECT event_type, round(coalesce(sum(latency_ns) FILTER (user_id % 3 > 0), 0) / (count(*) FILTER (user_id % 3 > 0) * 1e6), 6) AS avg_cpu_decode_ms,
+  round(coalesce(sum(latency_ns // 4) FILTER (user_id % 3 > 0), 0) / (count(*) FILTER (user_id % 3 > 0) * 1e6), 6) AS avg_cpu_resize_normalize_ms, count(*) FILTER (user_id % 3 > 0) AS preproc_count
+  FROM requests WHERE ok GROUP BY event_type)
+SELECT event_type, requests, batches, rejects, coalesce(preproc_count, 0) AS preproc_count, {", ".join(f"coalesce({c}, 0) AS {c}" for c in STATS_FIELDS)}
+FROM t JOIN r USING (event_type) LEFT JOIN p USING (event_type)""")
+def stats_document_fields(spark, d):
+    """The whole /stats document, read back into columns."""
+    made = stats.stats_document(batch_facts(spark, d), admission_rejects(spark, d), ["event_type"], cpu=preprocess_stats(spark, d))
+    schema = ", ".join([f"{c} long" for c in ("requests", "batches", "rejects", "preproc_count")] + [f"{c} double" for c in STATS_FIELDS])
+    got = made.select("event_type", F.from_json("document", schema).alias("f")).select("event_type", "f.*")
+    return got.select("event_type", "requests", "batches", "rejects", "preproc_count", *[F.round(c, 6).alias(c) for c in STATS_FIELDS])
+
+
 @query("""SELECT event_type, round(avg(u), 6) AS util_avg, CAST(max(u) AS DOUBLE) AS util_max, CAST(max(m) AS INT) AS mem_max, count(u) AS count
 FROM (SELECT event_type, CASE WHEN user_id % 11 <> 0 THEN user_id % 101 END AS u, CASE WHEN user_id % 11 <> 0 THEN 1000 + user_id % 977 END AS m FROM events) GROUP BY event_type""")
 def gpu_metric_summary(spark, d):
