@@ -118,7 +118,6 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
     parts_col: a column with a message's parts as a JSON list, used instead of text where it isn't null. One shuffle by
     conversation; a task holds the conversation that it builds, and no other.
     """
-    common.prepare(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     parts = F.col(parts_col).cast("string") if parts_col else F.lit(None).cast("string")
     columns = [F.col("conv_id").alias("id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), parts.alias("parts")]

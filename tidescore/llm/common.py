@@ -3,24 +3,46 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; bounds a Python worker's memory.
-TEXT_BATCH_ROWS = 1000
+#: Bytes of text that a Python worker takes up at once, but for one longer text.
+TEXT_BYTES = 3_000_000
+#: A key's share of all rows, as a fraction 1 / HOT, beyond which its rows don't go through a shuffle; no more than HOT keys can have it.
+HOT = 4096
+#: Rows of a table of split postings up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_SPLITS = 100_000
 
 
-def prepare(spark: SparkSession, batch_rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bounds Arrow batches, and names a checkpoint folder where the session has none (tests; a cluster sets its own)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where it names none, a local session gets a temporary one; a cluster must name one that its machines share."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+    held = context._jsc.sc().getCheckpointDir()
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        if held.isEmpty():
+            context.setCheckpointDir(named)
+        return named
+    if held.isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts in a column reach a number of bytes, so that memory doesn't grow with rows or texts."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)) + 64, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e > s:
+                yield batch.slice(s, e - s)
 
 
 def crc_mod(column, modulus: int):
@@ -28,10 +50,6 @@ def crc_mod(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def crc_mod_py(value, modulus: int) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode()) % modulus
-
-
 def row_hashes(docs: DataFrame) -> dict:
     """_h1, _h2: 128 bits of hash of a row's columns (maps aside), which tell rows apart whatever their ids."""
     names = [c for c, kind in docs.dtypes if "map<" not in kind]
@@ -77,27 +95,45 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callab
         yield out
 
 
-def spread_hot_postings(index: DataFrame, key: list[str], member: str, limit: int) -> DataFrame:
-    """Drops postings of one member and deals postings of over `limit` members out as pairs of blocks.
+def split_postings(index: DataFrame, key: str, member: str, limit: int) -> DataFrame:
+    """Deals postings of over about `limit` members out as pairs of blocks; every pair of members still meets, once.
 
-    Adds lo, hi (the pair of blocks that a run compares) and own (this row's block). A posting of up to `limit` members
-    is the one run 0, 0. A larger one is split into blocks by a hash of the member, and a row goes to one run for each
-    other block, so that every pair of members still meets, once, and no run holds much more than two blocks.
+    Adds lo, hi (the pair of blocks that a run compares) and own (this row's block). A posting is the one run 0, 0, unless
+    it is large: then it is split into blocks by a hash of the member, and a row goes to one run for each other block, so
+    that no run holds much more than two blocks. Large postings are found by counting the members that a hash draws, one
+    in limit / 32; a wrong guess makes runs smaller or somewhat larger, and changes no result.
     """
-    counts = index.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    blocks = counts.select(*key, F.when(F.col("_n") > limit, F.ceil(F.col("_n") / limit)).otherwise(1).cast("int").alias("_b"))
-    joined = index.join(blocks, key)
+    rate = max(1, limit // 32)
+    drawn = index.where(F.pmod(F.xxhash64(F.col(member), F.lit("draw")), F.lit(rate)) == 0)
+    counts = drawn.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * rate > limit)
+    large = counts.select(key, F.ceil(F.col("_n") * rate / limit).cast("int").alias("_b")).checkpoint()
+    met = large.count()
+    if not met:
+        return index.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    joined = index.join(F.broadcast(large) if met <= BROADCAST_SPLITS else large, key, "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
     own = F.pmod(F.xxhash64(F.col(member), F.lit("block")), F.col("_b")).cast("int")
     dealt = joined.withColumn("own", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return dealt.withColumn("lo", F.least("own", "_x")).withColumn("hi", F.greatest("own", "_x")).drop("_b", "_x")
 
 
+def join_counted(rows: DataFrame, named: DataFrame, key: list[str], count: str) -> DataFrame:
+    """rows joined by key with named, which has one row a key and counts the key's rows.
+
+    Keys with over 1 / HOT of all rows, at most HOT of them, are broadcast; the others' rows are shuffled. No task holds one hot key's rows.
+    """
+    total = named.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    many = rows.join(F.broadcast(named.where(hot)), key)
+    few = rows.join(F.broadcast(named.where(hot).select(*key)), key, "left_anti").join(named.where(~hot), key)
+    return many.unionByName(few)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): each node that has an edge, and the smallest node it reaches. Edges with a null end are ignored.
 
     Alternating star contraction: every round links each node's larger neighbours to its smallest one, then each node's
     smaller neighbours to its smallest one. Each round is a map-side-combined minimum and a join, checkpointed; no
-    adjacency list is gathered. The rounds end when the set of edges no longer changes.
+    adjacency list is gathered. The rounds end when the set of edges no longer changes. Nodes are of any type that has an order.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     current = edges.where(F.col(a) != F.col(b)).select(u, v).distinct().checkpoint()

@@ -221,7 +221,6 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", id_cols=("page_id", "url")) -> DataFrame:
     """The id columns, text and n_chars, one row per row of pages."""
-    common.prepare(pages.sparkSession)
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in id_cols)
 
     def work(batches):

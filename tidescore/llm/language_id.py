@@ -202,7 +202,6 @@ def fit(docs: DataFrame) -> Network:
 
 def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score."""
-    common.prepare(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
@@ -216,13 +215,11 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
 
 
 def op8_language_id(docs: DataFrame) -> DataFrame:
-    common.prepare(docs.sparkSession, 256)
     return predict(docs, fit(docs))
 
 
 def spoken_documents(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents with a language, with the columns of docs; `und` and probabilities below min_score go."""
-    common.prepare(docs.sparkSession, 256)
     network = fit(docs)
     at = docs.columns.index("text")
 

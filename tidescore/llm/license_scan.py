@@ -58,7 +58,6 @@ for _i, _phrase in enumerate(PHRASES):
 
 def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
     """IDF of each licence word over all documents. The words are the templates' own, so their counts are a bounded table."""
-    common.prepare(docs.sparkSession)
 
     def count(batches):
         total, tally = 0, dict.fromkeys(POSTINGS, 0)

@@ -48,7 +48,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, and columns more, which order rows of one id and size."""
-    common.prepare(docs.sparkSession)
+    common.checkpoint_folder(docs.sparkSession)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")).cast("binary"))
     sized = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *more)
@@ -81,20 +81,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Documents without words stay out: a mix of words takes none of them. Each row has its own counts, whatever its id; of rows equal in all columns, one stands for all and has their sum.
     """
-    hashed = docs.withColumns(common.row_hashes(docs))
-    taken = mix(hashed, more=("_h1", "_h2")).groupBy(F.col("doc_id").alias("_id"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"))
-    counts = taken.agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows")).where("_taken > 0").checkpoint()
-    joined = hashed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
-    if not counts.where("_rows > 1").isEmpty():
-        joined = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id", "_h1", "_h2"]))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    whole = words >= F.col("_size")
-    first = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, cast(_taken - (_copy - 1) * _size as int)), '')")
-    out = copies.withColumn("text", F.when(whole, F.col("text")).otherwise(first))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    names = docs.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    renamed = docs.toDF(*plain)
+    key, text, source = (plain[names.index(c)] for c in ("doc_id", "text", "source"))
+    hashed = renamed.withColumns(common.row_hashes(renamed))
+    taken = mix(hashed, key, text, source, more=("_h1", "_h2")).groupBy(F.col("doc_id").alias("id"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
+    counts = taken.agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")).where("taken > 0").checkpoint()
+    joined = hashed.join(counts, F.col(key).eqNullSafe(F.col("id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")))
+    if not counts.where("rows > 1").isEmpty():
+        joined = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates([key, "_h1", "_h2"]))
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    whole = F.col("taken") - (F.col("copy") - 1) * F.col("size") >= F.col("size")
+    first = F.expr(rf"array_join(slice(regexp_extract_all({text}, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0), 1, cast(taken - (copy - 1) * size as int)), '')")
+    out = copies.withColumn(text, F.when(whole, F.col(text)).otherwise(first))
+    if "n_chars" in names:
+        chars = plain[names.index("n_chars")]
+        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*plain).toDF(*names)
 
 
 #: DuckDB: the same sums; key order is that of md5's hex digits.

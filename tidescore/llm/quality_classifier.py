@@ -157,7 +157,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    common.prepare(docs.sparkSession)
+    common.checkpoint_folder(docs.sparkSession)
     stats = document_statistics(docs, id_col, text_col).checkpoint()
     model = fit(stats, labels)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -82,7 +82,6 @@ def buckets(text: str, order: int = ORDER, size: int = BUCKETS) -> np.ndarray:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket, from all documents and all labelled ones."""
-    common.prepare(docs.sparkSession)
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(True))
     if trusted.count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)  # else a shuffled join

@@ -316,7 +316,6 @@ def encode_batch(own: Coder, texts: list[str]) -> list[list[int]]:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids and decoded."""
-    common.prepare(docs.sparkSession)
     model = Path(model_path).read_bytes()
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids array<int>, decoded string" if with_ids else ""

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = "".join(f", {c} bigint" for c in more)
 
     def work(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["id", "fp", *more])
 
@@ -89,47 +89,55 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
-    """(a, b): links that join the same fingerprints as all links would, from a column fp of distinct fingerprints."""
+    """(a, b): links that join the same fingerprints as all links would, from distinct fingerprints fp.
+
+    With a column first, of any type, an end is the pair (first, fp), so that the ends' order is that of first.
+    """
+    pairs = "first" in distinct.columns
+    if not pairs:
+        distinct = distinct.withColumn("first", F.lit(None).cast("boolean"))
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(0xFF)) for i in range(BYTES)]
     entries = [
         F.lit(k << 24).bitwiseOR(F.shiftleft(byte[x], 16)).bitwiseOR(F.shiftleft(byte[y], 8)).bitwiseOR(byte[z]).cast("bigint")
         for k, (x, y, z) in enumerate(position_triples())
     ]
-    index = distinct.select("fp", F.explode(F.array(*entries)).alias("entry"))
+    index = distinct.select("fp", "first", F.explode(F.array(*entries)).alias("entry"))
     keys = ["entry", "lo", "hi"]
-    dealt = common.spread_hot_postings(index, ["entry"], "fp", limit)
-    runs = dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = common.split_postings(index, "entry", "fp", limit)
+    runs = dealt.select(*keys, "fp", "first").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(table: pa.Table):
-        fps = table.column("fp").to_numpy().view(np.uint64)
+        fps, firsts = table.column("fp").to_numpy().view(np.uint64), table.column("first").combine_chunks()
         edges = common.bounds([table.column(k).to_numpy() for k in keys])
         a, b = [], []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if e - s > 1:
                 for x, y in forest(fps[s:e]):
-                    a.append(fps[s + x])
-                    b.append(fps[s + y])
+                    a.append(s + x)
+                    b.append(s + y)
         if a:
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
+            ends = [(firsts.take(pa.array(x)), pa.array(fps[x].view(np.int64))) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([c for end in ends for c in end], ["a_first", "a_fp", "b_first", "b_fp"])
 
-    return runs.mapInArrow(lambda it: common.sorted_runs(it, keys, compare), "a bigint, b bigint")
+    kind = distinct.schema["first"].dataType.simpleString()
+    found = runs.mapInArrow(lambda it: common.sorted_runs(it, keys, compare), f"a_first {kind}, a_fp bigint, b_first {kind}, b_fp bigint")
+    return found.select(*[(F.struct(F.col(f"{end}_first").alias("first"), F.col(f"{end}_fp").alias("fp")) if pairs else F.col(f"{end}_fp")).alias(end) for end in "ab"])
 
 
 def with_roots(distinct: DataFrame, limit: int) -> DataFrame:
-    """distinct, with root, the smallest fingerprint that links reach from fp."""
-    found = common.connected_components(links(distinct.select("fp"), limit), "a", "b")
-    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    """distinct, with root, the least (first, fp) that links reach from fp."""
+    found = common.connected_components(links(distinct.select("fp", "first"), limit), "a", "b").select(F.col("node.fp").alias("fp"), "root")
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", F.struct("first", "fp")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = POSTING_LIMIT) -> DataFrame:
     """One row per row of docs: its id, fp, and component_id, the smallest id that links reach."""
-    common.prepare(docs.sparkSession)
+    common.checkpoint_folder(docs.sparkSession)
     marked = fingerprints(docs, id_col, text_col).checkpoint()
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = with_roots(distinct, limit).checkpoint()
-    smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    first = F.min(F.struct(F.isnull("id").alias("none"), "id")).alias("first")
+    distinct = marked.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")).checkpoint()
+    named = with_roots(distinct, limit).select("fp", "n", F.col("root.first.id").alias("component_id")).checkpoint()
+    return common.join_counted(marked, named, ["fp"], "n").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
@@ -138,15 +146,22 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
-    """One row of each component: that with the smallest id, null ids last; of rows that share it, the one with the smallest hash."""
-    common.prepare(docs.sparkSession)
-    hashed = docs.withColumns(common.row_hashes(docs))
-    marked = fingerprints(hashed, more=("_h1", "_h2")).groupBy("fp", "id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_rows"))
-    place = F.struct(F.isnull("id").alias("none"), F.col("id").alias("_id"), F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_rows")
+    """One row of each component: that with the smallest id, null ids last; of rows that share it, the one with the smallest hash.
+
+    Columns of docs may have any names; a row is known again by its id and hash alone.
+    """
+    common.checkpoint_folder(docs.sparkSession)
+    names = docs.columns
+    plain = [f"c{k}" for k in range(len(names))]
+    renamed = docs.toDF(*plain)
+    key = plain[names.index("doc_id")]
+    hashed = renamed.withColumns(common.row_hashes(renamed))
+    marked = fingerprints(hashed, key, plain[names.index("text")], ("_h1", "_h2")).groupBy("fp", "id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct(F.isnull("id").alias("none"), "id", F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), "rows")
     distinct = marked.groupBy("fp").agg(F.min(place).alias("first")).checkpoint()
-    kept = with_roots(distinct, limit).groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("none").checkpoint()
-    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
-    once = joined.where("_rows = 1").select(*docs.columns)
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    return once.unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns))
+    kept = with_roots(distinct, limit).where("root.fp = fp").select("first.*").checkpoint()
+    joined = hashed.join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")))
+    once = joined.where("rows = 1").select(*plain)
+    if not kept.where("rows > 1").isEmpty():
+        once = once.unionByName(joined.where("rows > 1").dropDuplicates([key, "_h1", "_h2"]).select(*plain))
+    return once.toDF(*names)
