@@ -116,12 +116,13 @@ def split_postings(index: DataFrame, key: str, member: str, limit: int) -> DataF
     return dealt.withColumn("lo", F.least("own", "_x")).withColumn("hi", F.greatest("own", "_x")).drop("_b", "_x")
 
 
-def join_counted(rows: DataFrame, named: DataFrame, key: list[str], count: str) -> DataFrame:
+def join_counted(rows: DataFrame, named: DataFrame, key: list[str], count: str, total: int | None = None) -> DataFrame:
     """rows joined by key with named, which has one row a key and counts the key's rows.
 
     Keys with over 1 / HOT of all rows, at most HOT of them, are broadcast; the others' rows are shuffled. No task holds one hot key's rows.
     """
-    total = named.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = named.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT > total
     many = rows.join(F.broadcast(named.where(hot)), key)
     few = rows.join(F.broadcast(named.where(hot).select(*key)), key, "left_anti").join(named.where(~hot), key)
@@ -132,23 +133,25 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """(node, root): each node that has an edge, and the smallest node it reaches. Edges with a null end are ignored.
 
     Alternating star contraction: every round links each node's larger neighbours to its smallest one, then each node's
-    smaller neighbours to its smallest one. Each round is a map-side-combined minimum and a join, checkpointed; no
-    adjacency list is gathered. The rounds end when the set of edges no longer changes. Nodes are of any type that has an order.
+    smaller neighbours to its smallest one. Each round is two map-side-combined minimums and joins, checkpointed; no adjacency
+    list is gathered, and a node with many neighbours is no hot key. The rounds end when the set of edges no longer changes.
+    Nodes are of any type that has an order.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     current = edges.where(F.col(a) != F.col(b)).select(u, v).distinct().checkpoint()
+    least, rows = F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
     state = None
     for _ in range(max_rounds):
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v")).distinct()
         state = now
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        below = current.groupBy("u").agg(least).select(F.col("u").alias("v"), "m")
+        ends = current.groupBy("v").agg(rows).join(below, "v", "left").select("v", "n", F.coalesce("m", "v").alias("m"))
+        large = join_counted(current, ends, ["v"], "n", now[0]).select("u", F.col("m").alias("v")).distinct().checkpoint()
+        starts = large.groupBy("u").agg(least, rows)
         hook = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        current = large.join(smallest, "u").select(hook.alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        current = join_counted(large, starts, ["u"], "n", large.count()).select(hook.alias("u"), F.col("m").alias("v")).distinct().checkpoint()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
