@@ -4,8 +4,10 @@ The model is two multinomials over hashed byte n-grams: one of all documents, on
 score is the mean over its n-grams of log(p_trusted / p_raw). A text is kept if it passes the base rules and its score
 is at least a fixed threshold, for every document alike. Counts cover all documents and all labelled ones.
 
-A partition adds up its own counts and yields one row per bucket it met; the rows are summed by bucket. Only the finished
-model, of BUCKETS weights, comes to the driver.
+All documents are counted where they lie; the trusted ones, found by a semi-join with the ids of good labels, are counted
+apart. The plan is the same at every size: Spark sends the ids to the texts while they are few, else the texts that a
+filter of the ids lets through to the ids. A partition adds up its own counts and yields one row per bucket it met; the
+rows are summed by bucket. Only the finished model, of BUCKETS weights, comes to the driver.
 
 Defined cases: null text has no words; texts under ten words fail the base rules; a text without n-grams scores 0; without
 any trusted text every score is 0; a document labelled more than once is trusted if any of its labels is 1; null ids match
@@ -27,8 +29,6 @@ ORDER = 3
 SMOOTHING = 65_536.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.5
-#: Trusted ids up to which they are broadcast, so that no text is shuffled.
-BROADCAST_IDS = 500_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -80,28 +80,28 @@ def buckets(text: str, order: int = ORDER, size: int = BUCKETS) -> np.ndarray:
     return ((key * np.uint32(2654435761)) >> np.uint32(32 - size.bit_length() + 1)).astype(np.int64)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(p_trusted / p_raw) of each bucket, from all documents and all labelled ones."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct().withColumn("_good", F.lit(True))
-    if trusted.count() <= BROADCAST_IDS:
-        trusted = F.broadcast(trusted)  # else a shuffled join
-    joined = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket is met in a column of texts."""
 
     def count(batches):
-        tally = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for text, is_good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(buckets(common.text_of(text))) if text else np.zeros(0, np.int64)
-                tally[0, : len(found)] += found
-                if is_good:
-                    tally[1, : len(found)] += found
-        met = np.flatnonzero(tally[0])
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(tally[0, met]), pa.array(tally[1, met])], ["bucket", "n_raw", "n_good"])
-
-    sums = joined.mapInArrow(count, "bucket bigint, n_raw bigint, n_good bigint").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_good").alias("n_good"))
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in sums.collect():  # at most BUCKETS rows
-        raw[row.bucket], target[row.bucket] = row.n_raw, row.n_good
+        tally = np.zeros(BUCKETS, np.int64)
+        for batch in common.slices(batches, 0):
+            for text in filter(None, batch.column(0).to_pylist()):
+                tally += np.bincount(buckets(text), minlength=BUCKETS)
+        met = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(tally[met])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS)
+    for row in texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        out[row.bucket] = row.n
+    return out
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log(p_trusted / p_raw) of each bucket, from all documents and all labelled ones."""
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    raw = bucket_counts(docs.select("text"))
+    target = bucket_counts(docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").select("text"))
     if not target.sum():
         return np.zeros(BUCKETS)
     share = lambda x: (x + SMOOTHING / BUCKETS * (x.sum() / raw.sum())) / (x.sum() * (1 + SMOOTHING / raw.sum()))
@@ -114,18 +114,18 @@ def score(text: str, weights: np.ndarray) -> float:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+    """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score (to nine places)."""
     weights = log_ratios(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             rows = []
             for text in map(common.text_of, batch.column(1).to_pylist()):
                 counts = base_counts(text)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
                 ratio = score(text, weights)
-                rows.append((*counts, failed, not failed and ratio >= threshold, ratio))
+                rows.append((*counts, failed, not failed and ratio >= threshold, round(ratio, 9)))
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             arrays = [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"])
@@ -145,7 +145,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     at = names.index("text")
 
     def work(batches):
-        for batch in batches:
+        for batch in common.slices(batches, at):
             keep = []
             for text in map(common.text_of, batch.column(at).to_pylist()):
                 counts = base_counts(text)
@@ -153,3 +153,29 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
+
+
+#: DuckDB: byte trigrams by their hex digits, hashed into the same buckets.
+SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, hex(encode(coalesce(text, ''))) AS h FROM documents
+), grams AS (
+  SELECT r, (CAST('0x' || substr(h, 2 * i + 1, 6) AS BIGINT) * 2654435761 % 4294967296) >> {32 - BUCKETS.bit_length() + 1} AS bucket, count(*) AS n
+  FROM (SELECT r, h, unnest(range(len(h) // 2 - {ORDER - 1})) AS i FROM docs) GROUP BY ALL
+), trusted AS (SELECT r FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+), counts AS (SELECT bucket, sum(n) AS raw, coalesce(sum(n) FILTER (r IN (FROM trusted)), 0) AS target FROM grams GROUP BY bucket
+), sums AS (SELECT CAST(sum(raw) AS DOUBLE) AS raw_all, CAST(sum(target) AS DOUBLE) AS target_all FROM counts
+), weights AS (
+  SELECT bucket, CASE WHEN target_all > 0 THEN ln(((target + {SMOOTHING / BUCKETS} * (target_all / raw_all)) / target_all) / ((raw + {SMOOTHING / BUCKETS}) / raw_all)) ELSE 0 END AS weight FROM counts, sums
+), scores AS (SELECT r, sum(n * weight) / sum(n) AS score FROM grams JOIN weights USING (bucket) GROUP BY r
+), windows AS (SELECT r, i, w[i : i + {WINDOW - 1}] AS five FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM docs)
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS met FROM windows), range({WINDOW}) AS x(k) WHERE met > 1 GROUP BY r
+), judged AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(score, 0.0::DOUBLE) AS score FROM docs LEFT JOIN repeated USING (r) LEFT JOIN scores USING (r)
+), failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM judged)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {THRESHOLD} AS kept, round(score, 9) AS score FROM failed
+"""
