@@ -14,8 +14,6 @@ bytes past the end of a short window are zero; null ids count as held in; extra
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -43,11 +41,10 @@ WINDOWS_AT_ONCE = 512
 #: The pipeline rejects a document below this probability.
 MIN_SCORE = 0.4
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def has_letter(text: str) -> bool:
-    return bool(_LETTER.search(text))
+    """Whether a character's Unicode category is one of letters; number forms and signs like a half or a circled one are none."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -205,7 +202,7 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1):
             found = network.predict([common.text_of(t) for t in batch.column(1).to_pylist()])
             arrays = [batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
@@ -224,7 +221,7 @@ def spoken_documents(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame
     at = docs.columns.index("text")
 
     def work(batches):
-        for batch in batches:
+        for batch in common.slices(batches, at):
             found = network.predict([common.text_of(t) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([lang != "und" and chance >= min_score for lang, chance in found], pa.bool_()))
 
