@@ -5,7 +5,7 @@ best pair is joined, the pairs at its two ends enter the agenda, and entries who
 A symbol that is not in the vocabulary becomes its UTF-8 bytes' pieces.
 
 No join crosses a place between two characters that stand side by side in no piece. Texts are cut there first, which
-changes no result and lets a bounded cache hold the ids of cuts seen before.
+changes no result and lets a cache, bounded in bytes, hold the ids of cuts seen before.
 
 Every Arrow batch is checked against the sentencepiece library's own encoding of its texts; any difference raises.
 
@@ -24,7 +24,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,10 @@ from tidescore.llm import common
 
 SPACE = "▁"
 NORMAL = 1
-#: Cuts that a worker's cache holds before it starts anew.
-CACHE_CUTS = 600_000
-#: Bytes of text that are encoded at once, but for one longer text.
-TEXT_BYTES = 3_000_000
+#: Cuts that a worker's cache holds, and bytes of them and their ids, before it starts anew.
+CACHE_CUTS, CACHE_BYTES = 600_000, 100_000_000
+#: Bytes that a cut takes beyond its characters and ids, and characters beyond which one is not kept.
+CUT_BYTES, LONG_CUT = 200, 64
 #: Characters up to which the agenda is a plain list.
 SHORT = 40
 #: Characters below which the words of a batch are encoded together.
@@ -69,21 +68,27 @@ class _Numbers(dict):
 
 
 class _Ids(dict):
-    """Ids by cut, packed in bytes; what is missing is encoded, and the cache starts anew when it is full."""
+    """Ids by cut, packed in bytes; what is missing is encoded. The cache starts anew when it is full; long cuts are not kept."""
 
-    def __init__(self, find, most: int):
-        self.find, self.most = find, most
+    def __init__(self, find, most: int, most_bytes: int):
+        self.find, self.most, self.most_bytes, self.bytes = find, most, most_bytes, 0
 
     def __missing__(self, cut: str):
         ids = self.find(cut)
-        if len(self) >= self.most:
-            self.clear()
-        self[cut] = ids
+        if len(cut) <= LONG_CUT:
+            self.room(1, CUT_BYTES + len(cut) + len(ids))
+            self[cut] = ids
         return ids
 
+    def room(self, cuts: int, size: int) -> None:
+        if len(self) + cuts > self.most or self.bytes + size > self.most_bytes:
+            self.clear()
+            self.bytes = 0
+        self.bytes += size
+
 
 class Coder:
-    def __init__(self, model: bytes, cache: int = CACHE_CUTS):
+    def __init__(self, model: bytes, cache: int = CACHE_CUTS, cache_bytes: int = CACHE_BYTES):
         proto = model_format.ModelProto()
         proto.ParseFromString(model)
         rules = proto.normalizer_spec
@@ -119,9 +124,9 @@ class Coder:
         single = [c for p, c in self.costs.items() if len(p) > 1 and p.strip(SPACE)]
         self.distinct_scores = len(set(single)) == len(single)
         self.line_end = pack([self.bytes[10]])
-        self.parts = _Ids(self.agenda, cache // 4)
-        self.plain = _Ids(self.cut, cache)
-        self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache)
+        self.parts = _Ids(self.agenda, cache // 4, cache_bytes // 4)
+        self.plain = _Ids(self.cut, cache, cache_bytes // 4)
+        self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache, cache_bytes // 2)
 
     def agenda(self, text: str) -> bytes:
         """Ids of a text, white space escaped, by joining the best pair of neighbours until none is left."""
@@ -228,8 +233,7 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encodes words with their leading space into the cache: the agenda of short(), for all words of like length at once."""
-        if len(self.spaced) + len(words) > self.spaced.most:
-            self.spaced.clear()
+        self.spaced.room(len(words), sum(map(len, words)) * 5 + CUT_BYTES * len(words))  # at most one id of four bytes a character, or nearly
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
@@ -295,16 +299,6 @@ def coder(model: bytes) -> Coder:
     return _coders[model]
 
 
-def slices(batches, most: int = TEXT_BYTES):
-    """The batches, cut where their texts (column 1) reach a number of bytes, so that memory doesn't grow with the texts."""
-    for batch in batches:
-        sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0)), dtype=np.int64) // most
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e > s:
-                yield batch.slice(s, e - s)
-
-
 def encode_batch(own: Coder, texts: list[str]) -> list[list[int]]:
     """Ids of each text, checked against the library."""
     ids = own.encode_all(texts)
@@ -324,20 +318,24 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         own = coder(model)
         digits = [str(i) for i in range(own.library.get_piece_size())]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        collects = gc.isenabled()
         gc.disable()  # a batch makes many lists and no cycles; looking for some costs a tenth of the time
-        for batch in slices(batches):
-            ids = encode_batch(own, [common.text_of(t) for t in batch.column(1).to_pylist()])
-            decoded = own.library.decode(ids, num_threads=1) if ids else []
-            columns = {
-                "doc_id": batch.column(0),
-                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                "ids_sha256": pa.array([sha(",".join(map(digits.__getitem__, x))) for x in ids], pa.string()),
-                "decoded_sha256": pa.array([sha(x) for x in decoded], pa.string()),
-            }
-            if with_ids:
-                columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-        gc.enable()
+        try:
+            for batch in common.slices(batches, 1):
+                ids = encode_batch(own, [common.text_of(t) for t in batch.column(1).to_pylist()])
+                decoded = own.library.decode(ids, num_threads=1) if ids else []
+                columns = {
+                    "doc_id": batch.column(0),
+                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([sha(",".join(map(digits.__getitem__, x))) for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([sha(x) for x in decoded], pa.string()),
+                }
+                if with_ids:
+                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        finally:
+            if collects:
+                gc.enable()
 
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
