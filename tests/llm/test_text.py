@@ -4,6 +4,7 @@ import hashlib
 import html
 import itertools
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -96,6 +97,20 @@ def test_sentencepiece_table_and_edges(spark, sf, own):
     assert sentencepiece_bpe.op2_sentencepiece(docs.limit(0), model_path()).count() == 0
 
 
+def test_sentencepiece_cache_is_bounded_in_bytes():
+    import gc
+
+    own = sentencepiece_bpe.Coder(open(model_path(), "rb").read(), cache_bytes=400_000)
+    rng = np.random.default_rng(0)
+    lines = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, n))) for n in rng.integers(1, 3000, 300)]  # long, without spaces
+    words = [" ".join(f"{chr(0x3B1 + int(k) % 24)}w{k}" for k in rng.integers(0, 100_000, 5000)) for _ in range(3)]
+    texts = [*lines, "\n".join(lines), *words]
+    assert own.encode_all(texts) == own.library.encode(texts)
+    for cache in (own.parts, own.plain, own.spaced):
+        assert sum(len(c) + len(i) + sentencepiece_bpe.CUT_BYTES for c, i in cache.items()) <= 2 * 400_000 and all(len(c) <= sentencepiece_bpe.LONG_CUT for c in cache)
+    assert gc.isenabled()
+
+
 # mixing
 
 
@@ -208,6 +223,51 @@ def test_html_keeps_all_unmarked_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def without_names(page):
+    """The page with none of the elements and class names that tell what holds the article."""
+    for old, new in ("nav", "div class=n1"), ("article", "div class=k2"), ("footer", "div class=z3"):
+        page = page.replace(f"<{old}>", f"<{new}>").replace(f"</{old}>", "</div>")
+    return page.replace('<div class="ad">', "<div class=q7>")
+
+
+def test_html_windows_decide(spark, sf, monkeypatch):
+    """Pages that tell nothing by elements or names: whole articles stay, next to nothing else does, and only by the windows."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = [html_extract.main_text(p).split("\n\n") for p in pages]
+
+    def figures():
+        got = [html_extract.main_text(without_names(p)).split("\n\n") for p in pages]
+        size = sum(len(x) for w in want for x in w)
+        over = lambda a, b: sum(len(x) for u, v in zip(a, b, strict=True) for x in u if x not in v) / size
+        return sum(g == w for g, w in zip(got, want, strict=True)) / len(pages), over(want, got), over(got, want)
+
+    equal, lost, more = figures()
+    assert equal > 0.95 and lost < 0.001 and more < 0.005
+    monkeypatch.setattr(html_extract, "SURGE", 0)
+    equal, lost, more = figures()
+    assert equal == 0 and more > 0.05
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p>{LONG}</p><div class="box-x7">Buy now 50% off</div><p>z</p></article>', f"{LONG}\n\nz"),
+        (f"<div><p>{LONG}</p></div><div class=u8><h3>2 x</h3><div><p>Bob</p><p>nice, thanks</p></div><div><p>Eve</p><p>no</p></div></div>", LONG),
+        (f'<section id="search"><h1>T</h1><p>{LONG}</p></section>', f"T\n\n{LONG}"),
+        (f"<div class=a><a href=x>Home</a> <a href=y>About</a></div><div class=b><h1>T</h1></div><div class=c><p>{LONG}</p><p>s</p><p>{END}</p></div><div class=d>(c) me</div>", f"T\n\n{LONG}\n\ns\n\n{END}"),
+        (f"<div><p>{LONG}</p>" + "<ul>" + "<li><a href=x>link</a></li>" * 9 + "</ul></div>", LONG),
+        (f"<div>{LONG}</div><div>{LONG}</div>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_html_without_names(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_windows():
+    assert html_extract.between([0, 5, 5, 0, 0, 0, 3, 0, 9, 0, 0], 9) == [1, 2, 6, 7, 8, 9, 10]
+    assert html_extract.between([4, 0, 0, 0, 0, 4, 5], 9) == [5, 6] and html_extract.between([0, 0], 0) == [] == html_extract.between([], 0)
+
+
 def test_html_edges(spark):
     rows = [(None, None, None, "c"), (1, "u", "<p>" + "a " * 300_000, "c"), (1, "u", "", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -300,6 +360,59 @@ def slow_scan(text):
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more))
 
 
+def slow_weights(texts):
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    met = Counter(w for s in split for w in set(s))
+    words = {w for must, some in license_scan.TEMPLATES.values() for t in (*must, *some) for w in t.split()} | {w for p in license_scan.BASE for w in p.split()}
+    return {w: int(np.floor(1000 * (np.log((1 + len(texts)) / (1 + met[w])) + 1))) for w in words}
+
+
+def slow_score(text, labels, weight):
+    """Every licence text of a label laid at every place of the file where one of the label's key phrases comes to lie on its like."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    best = max((float(x in license_scan.BASE.values()) for x in labels), default=0.0)
+    for label in set(labels) & license_scan.TEMPLATES.keys():
+        must, some = license_scan.TEMPLATES[label]
+        for whole in (t.split() for t in some):
+            for start in range(-len(whole), len(words)):
+                on = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(whole)]
+                keys = [p.split() for p in must]
+                if any(whole[i : i + len(k)] == k and all(on[i : i + len(k)]) for k in keys for i in range(len(whole) - len(k) + 1)):
+                    best = max(best, sum(weight[w] for w, x in zip(whole, on, strict=True) if x) / sum(map(weight.get, whole)))
+    return best
+
+
+def test_license_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
+    said = [
+        "Released under the MIT License.", "MIT license", "x Permission is hereby granted, free of charge, to any person obtaining a copy of THAT software", "charge, to any person",
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License as published, either version 3 of the License",
+        "CC BY-SA 4.0 or licensed under CC BY-NC 4.0", "Apache License, Version 2.0 and again: Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file", "all rights reserved", "cc0", None, "",
+    ]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(said)], "doc_id long, text string"))
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    weight = slow_weights(list(rows.values()))
+    got = license_scan.op7_license_scan(docs).collect()
+    assert len(got) == len(rows) and sum(0 < r.score < 1 for r in got) >= 3
+    for r in got:
+        assert r.score == pytest.approx(slow_score(rows[r.doc_id], [x for x in r.labels.split(",") if x], weight), abs=1e-12)
+
+
+def test_license_index_touches_only_phrases_whose_rarest_word_is_there(monkeypatch):
+    idf = dict.fromkeys(license_scan.POSTINGS, 1) | {b"general": 9, b"by": 9}
+    orders = license_scan.phrase_order(idf)
+    read = []
+
+    class Seen(list):
+        def __getitem__(self, i):
+            read.append(license_scan.PHRASES[i]) if isinstance(i, int) else None
+            return super().__getitem__(i)
+
+    found = license_scan.phrase_starts([b"x", b"general", b"public", b"license", b"cc"], Seen(orders), idf)
+    assert {license_scan.PHRASES[i]: s for i, s in found.items()} == {(b"general", b"public", b"license"): [1]}
+    assert (b"cc", b"by") not in {license_scan.PHRASES[i] for i in found}
+
+
 def test_license_scan(spark, sf):
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd_documents(spark)):
         want = sorted(str((r.doc_id, *slow_scan(r.text or ""))) for r in docs.collect())
@@ -371,6 +484,43 @@ def test_language_learns_every_language(spark, monkeypatch):
     assert len(languages) == 70 and len(x) <= 70 * language_id.TRAIN_WINDOWS and set(y.tolist()) == set(range(70))
 
 
+def slow_language(network, text):
+    """Filters slid over every window one place at a time, whole texts, in plain floats."""
+    if not any(unicodedata.category(c).startswith("L") for c in text) or not network.languages:
+        return "und", 0.0
+    raw = text.encode()
+    p = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    logits = []
+    for s in range(0, len(raw), language_id.LENGTH):
+        window = list(raw[s : s + language_id.LENGTH].ljust(language_id.LENGTH, b"\0"))
+        tops = []
+        for w in language_id.WIDTHS:
+            maps = [np.concatenate([p["embedding"][b] for b in window[i : i + w]]) @ p[f"f{w}"] for i in range(language_id.LENGTH - w + 1)]
+            tops += [max(0.0, max(m[f] for m in maps) + p[f"b{w}"][f]) for f in range(language_id.FILTERS)]
+        logits.append(np.array(tops) @ p["out"] + p["out_b"])
+    mean = np.mean(logits, axis=0)
+    chance = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+    return network.languages[int(chance.argmax())], float(chance.max())
+
+
+def test_language_equals_slow_prediction_of_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    network = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for frame in (docs, odd_documents(spark).where("length(text) < 1000 OR text IS NULL")):
+        texts = Counter((r.doc_id, r.text) for r in frame.collect())
+        got = {}
+        for r in language_id.predict(frame, network).collect():
+            got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+        for (i, text), n in texts.items():
+            lang, score = slow_language(network, text or "")
+            assert sum(a == lang and b == pytest.approx(score, abs=1e-4) for a, b in got[i]) >= n
+
+
+@pytest.mark.parametrize(("text", "spoken"), [("\u00bd \u00b2 \u2167 \u2460 12!", False), ("\u00aa", True), ("1\u01c5", True), ("\u4e2d", True), ("_", False), ("\U0001f600", False), ("\u02b0", True)])
+def test_language_letters(text, spoken):
+    assert language_id.has_letter(text) == spoken == any(unicodedata.category(c).startswith("L") for c in text)
+
+
 def test_language_edges(spark):
     docs = odd_documents(spark)
     rows = language_id.op8_language_id(docs).collect()
@@ -413,6 +563,34 @@ def test_quality_equals_one_fit(spark):
     assert np.allclose(z @ model.weights, want, atol=1e-6)
 
 
+def slow_statistics(text):
+    words = WORD.findall(text)
+    raw = text.encode()
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n, size = max(1, len(words)), max(1, len(raw))
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars) / size
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    met = Counter(words)
+    return [
+        np.log(1 + len(words)), np.log(1 + len(raw)), sum(len(w.encode()) for w in words) / n, count("#*$%&|<>"), count("!"), count(upper), count(digits), count(".,;:?\"'()-"), sum(b >= 128 for b in raw) / size,
+        count(" \t\n\r\x0b\x0c"), len(met) / n, max(met.values(), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n, np.log(1 + len(lines)), 1 - len(set(lines)) / max(1, len(lines)),
+    ]
+
+
+def test_quality_statistics_and_scores_are_those_of_whole_texts(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_classifier.fit(quality_classifier.document_statistics(docs).checkpoint(), labels)
+    got = {r.doc_id: r for r in quality_classifier.op9_quality(docs, labels).collect()}
+    at, value = model.knots
+    for r in docs.collect():
+        x = np.array(slow_statistics(r.text or ""))
+        assert np.allclose(x, quality_classifier.statistics(r.text or ""), atol=1e-12)
+        scaled = np.clip((x - model.mean) / model.deviation, -quality_classifier.CUT, quality_classifier.CUT)
+        raw = sum(w * np.sqrt(2 / quality_classifier.FEATURES) * np.cos(scaled @ d + f) for w, d, f in zip(model.weights, model.directions.T, model.phases)) + model.weights[-1]
+        want = value[0] if raw <= at[0] else value[-1] if raw >= at[-1] else next(a + (b - a) * (raw - p) / (q - p) for p, q, a, b in zip(at, at[1:], value, value[1:]) if p <= raw <= q)
+        assert got[r.doc_id].score == pytest.approx(min(1, max(0, want)), abs=1e-6) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+
+
 def test_quality_edges(spark):
     docs, labels = odd_documents(spark), odd_labels(spark)
     for some in (labels, labels.limit(0)):

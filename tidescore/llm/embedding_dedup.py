@@ -233,3 +233,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op10_embedding_dedup(vectors: DataFrame) -> DataFrame:
     return near_duplicates(vectors)
+
+
+#: DuckDB: the cosine of every pair.
+SQL = f"""
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), good AS (
+  SELECT r, v, sqrt(list_dot_product(v, v)) AS size FROM vectors
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.size * b.size) >= {THRESHOLD} ELSE false END
+), reach AS (SELECT r AS a, r AS b FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), parts AS (SELECT reach.a AS r, min(vectors.vec_id) AS component_id FROM reach JOIN vectors ON vectors.r = reach.b GROUP BY reach.a
+), counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM vectors JOIN parts USING (r) LEFT JOIN counts USING (r)
+"""

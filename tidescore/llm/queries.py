@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.SQL, "op4_mix": mixing.SQL}
+    return {"op1_chat": chat.SQL, "op4_mix": mixing.SQL, "op6_quality_rules": quality_rules.SQL, "op7_license_scan": license_scan.SQL, "op10_embedding_dedup": embedding_dedup.SQL}
