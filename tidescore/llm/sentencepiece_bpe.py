@@ -34,7 +34,7 @@ from tidescore.llm import common
 SPACE = "▁"
 NORMAL = 1
 #: Cuts that a worker's cache holds, and bytes of them and their ids, before it starts anew.
-CACHE_CUTS, CACHE_BYTES = 600_000, 100_000_000
+CACHE_CUTS, CACHE_BYTES = 600_000, 200_000_000
 #: Bytes that a cut takes beyond its characters and ids, and characters beyond which one is not kept.
 CUT_BYTES, LONG_CUT = 200, 64
 #: Characters up to which the agenda is a plain list.
@@ -124,9 +124,9 @@ class Coder:
         single = [c for p, c in self.costs.items() if len(p) > 1 and p.strip(SPACE)]
         self.distinct_scores = len(set(single)) == len(single)
         self.line_end = pack([self.bytes[10]])
-        self.parts = _Ids(self.agenda, cache // 4, cache_bytes // 4)
-        self.plain = _Ids(self.cut, cache, cache_bytes // 4)
-        self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache, cache_bytes // 2)
+        self.parts = _Ids(self.agenda, cache // 4, cache_bytes // 8)
+        self.plain = _Ids(self.cut, cache, cache_bytes // 8)
+        self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache, cache_bytes * 3 // 4)
 
     def agenda(self, text: str) -> bytes:
         """Ids of a text, white space escaped, by joining the best pair of neighbours until none is left."""
