@@ -17,6 +17,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix"
-#: Hex digits of the key that deal a source's documents into ranges.
-RANGE_DIGITS = 3
+#: Documents of a range, about, if one source had them all; the ranges' number follows from it.
+RANGE_ROWS = 10_000
+
+
+def range_digits(rows: int) -> int:
+    """Hex digits of the key that deal a source's documents into ranges; they change no result."""
+    return min(8, max(1, math.ceil(math.log(max(1, rows / RANGE_ROWS), 16))))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,9 +60,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *more)
         .withColumn("key", key)
-        .withColumn("part", F.substring("key", 1, RANGE_DIGITS))
         .checkpoint()
     )
+    sized = sized.withColumn("part", F.substring("key", 1, range_digits(sized.count())))
     targets = source_targets(sized, weights, max_epochs)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sized.groupBy("source", "part").agg(F.sum("size").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
