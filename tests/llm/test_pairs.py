@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidescore.llm import common, embedding_dedup, simhash
 
@@ -160,3 +161,70 @@ def test_embedding_recall_at_the_threshold():
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     near = 0.9 * x + np.sqrt(1 - 0.81) * y
     assert (hasher(x) == hasher(near)).any(axis=1).mean() > 0.92
+    apart = np.bitwise_count((hasher.codes(x) ^ hasher.codes(near)).view(np.uint64)).sum(axis=1)
+    found = (hasher(x) == hasher(near)).any(axis=1) & (apart <= embedding_dedup.code_distance())
+    assert found.mean() > 0.92 and (apart <= embedding_dedup.code_distance()).mean() > 0.995
+
+
+def test_code_filter_lets_few_unrelated_vectors_meet():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 64))
+    code = embedding_dedup.Hasher(64, 3, 12).codes(embedding_dedup.unit(x)).view(np.uint64)
+    apart = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2)
+    assert (apart <= embedding_dedup.code_distance()).sum() - len(x) < 1e-4 * len(x) ** 2
+
+
+def test_embeddings_of_extreme_sizes(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1e-300]), (3, [1e300, 0.0]), (4, [0.0, 5e-324]), (5, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got_embeddings(frame) == sorted([(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 2, 1)], key=str)
+
+
+def test_embeddings_equal_sql(spark):
+    """The query's own SQL on a table with links, chains, copies and unusable vectors."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 12))
+    rows = [(i, (centres[i % 8] + rng.normal(0, 0.28, 12)).astype(np.float32).tolist()) for i in range(160)]
+    rows += [(500, rows[0][1]), (501, None), (502, [0.0] * 12), (503, [float("nan")] + [1.0] * 11), (504, [1.0, 2.0]), (505, [2.0, 4.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = sorted(con.execute(embedding_dedup.SQL).fetchall())
+    got = embedding_dedup.op10_embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == want and len({r[2] for r in want}) < 150
+
+
+def test_components_of_hubs_and_pairs_of_nodes(spark, monkeypatch):
+    """A node with most of the edges, larger or smaller than its neighbours, and nodes that are pairs with a null."""
+    monkeypatch.setattr(common, "HOT", 3)
+    edges = [(0, i) for i in range(1, 200)] + [(900, i) for i in range(300, 400)] + [(500 + i, 501 + i) for i in range(20)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in range(200)} | {i: 300 for i in [*range(300, 400), 900]} | {500 + i: 500 for i in range(21)}
+    assert dict(map(tuple, common.connected_components(frame, "a", "b").collect())) == want
+    pairs = frame.selectExpr("struct(if(a = 0, null, a) AS x, a AS y) AS a", "struct(if(b = 0, null, b) AS x, b AS y) AS b")
+    assert {r.node.y: r.root.y for r in common.connected_components(pairs, "a", "b").collect()} == want
+
+
+def test_join_counted(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 30), ("c", 1), ("d", 1)) for i in range(n)], "k string, i int")
+    for hot in (1, 2, 3, 10**6):
+        old, common.HOT = common.HOT, hot
+        try:
+            named = rows.groupBy("k").count().withColumn("name", F.upper("k"))
+            assert sorted(map(tuple, common.join_counted(rows, named, ["k"], "count").select("k", "i", "name").collect())) == sorted((r.k, r.i, r.k.upper()) for r in rows.collect())
+        finally:
+            common.HOT = old
+
+
+def test_names_that_operators_use(spark):
+    """Extra columns of any names, those of the operators' own among them, come through the pipeline's stages."""
+    from tidescore.llm import mixing
+
+    own = ["id", "_id", "_h1", "_h2", "_k1", "h1", "h2", "c0", "c1", "fp", "first", "rows", "size", "taken", "copy", "key", "part", "root", "text_"]
+    rows = [(1, "a b c", "x", *own), (2, "A  b c", "y", *own), (2, "d e", "y", *own), (None, "f", None, *own), (None, "g", None, *own)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *own], samplingRatio=1.0)
+    assert sorted(map(str, simhash.keep_one_of_each(docs).collect())) == sorted(str(r) for r in docs.collect() if r.text != "A  b c")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {1, 2, None} and mixed.count() > 0
