@@ -6,12 +6,11 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidescore.llm import language_id, mixing, quality_rules, sentencepiece_bpe, simhash
+from tidescore.llm import common, language_id, mixing, quality_rules, sentencepiece_bpe, simhash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +47,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Stages between are written to the cluster's checkpoint folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Stages between are written to the session's checkpoint folder and read again.
+
+    A stage's folder goes when the next stage is written; the last one, which the result reads, when the session's JVM ends.
+    """
+    folder = f"{common.checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda k: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}")
+    files.deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(folder))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        files.delete(path(k - 1), True)
     return STAGES[-1][1](spark, docs, sf_dir)
