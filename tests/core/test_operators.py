@@ -263,9 +263,169 @@ def test_bodies(spark):
     assert spark.range(1).select(inputs.body_error(F.repeat(F.lit("x"), 20 * 1024 * 1024 + 1).cast("binary"), F.lit(False))).first()[0].startswith("could not read")
 
 
+def test_null_keys_are_keys(spark):
+    rows = spark.createDataFrame([(None, 0, 3, "x"), (None, 0, 4, None), ("a", 0, 5, None)], "k string, batch int, id int, error string")
+    assert {(r.id, r.error) for r in replay.fail_batches(rows, ["k", "batch"], "error").collect()} == {(3, "x"), (4, "x"), (5, None)}
+    timed = spark.createDataFrame([(None, 2_000_000, True), (None, 4_000_000, True), (1, 6_000_000, False), (2, None, True)], "level int, ns long, ok boolean")
+    assert {(r.level, r.mean_ms, r.p50_ms, r.max_ms) for r in stats.latencies(timed, "level", "ns").collect()} == {(None, 3.0, 4.0, 4.0), (1, 6.0, 6.0, 6.0), (2, 0.0, None, None)}
+    span = spark.createDataFrame([(None, 0.5), (1, 1.0), (2, 1.0)], "level int, elapsed_sec double")
+    want = {(None, 2, 0, 4.0), (1, 1, 1, 0.0), (2, 1, 0, 1.0)}
+    assert {(r.level, r.requests, r.errors, r.throughput_req_s) for r in stats.closed_loop(timed, "level", "ns", "ok", span).collect()} == want
+    opened = stats.open_loop(timed.withColumn("over", F.lit(False)), "level", "ns", "ok", "over", F.lit(2.0) * F.count(F.lit(1))).collect()
+    assert {(r.level, r.completed, r.errors, r.achieved, r.p99_ms) for r in opened} == {(None, 2, 0, 0.5, 4.0), (1, 0, 1, 0.0, 0.0), (2, 1, 0, 0.5, 0.0)}
+
+
+def test_drain(spark):
+    rows = spark.createDataFrame([(1, 5, 8), (2, 5, 10), (3, 5, 11), (4, 10, 10), (5, 11, 11), (6, 11, 9)], "id int, ts long, taken long")
+    said = {r.id: r.error for r in replay.drain(rows, "ts", "taken", 10).collect()}
+    assert [said[i] for i in range(1, 7)] == [None, None, "engine shutting down", None, "engine shutting down", "engine shutting down"]
+
+
+def test_closed_loop_keeps_every_worker_busy(spark):
+    rows = [(k, i, int(x), {"a": 1, "b": 3, None: 0}[k]) for k in ("a", "b", None) for i, x in enumerate(np.random.default_rng(5).integers(1, 50, 40))]
+    got = {(r.k, r.i): r.start for r in replay.closed_loop(spark.createDataFrame(rows, "k string, i long, ns long, workers int"), "k", ["i"], "ns", "workers").collect()}
+    for k, workers in (("a", 1), ("b", 3), (None, 1)):
+        busy = [0] * workers
+        for _, i, x, _ in (r for r in rows if r[0] == k):
+            w = busy.index(min(busy))
+            assert got[k, i] == busy[w]
+            busy[w] += x
+
+
+def test_progress(spark):
+    rows = spark.createDataFrame([("a", i, 1 + i % 3) for i in range(401)] + [(None, i, 4) for i in range(200)], "k string, b int, n int")
+    said = sorted((str(r.k), r.line) for r in stats.progress(rows, "k", "b", "n").collect())
+    assert said == [("None", "batching: 200 batches run, avg batch size 4.0 (last=4)"), ("a", "batching: 200 batches run, avg batch size 2.0 (last=2)"), ("a", "batching: 400 batches run, avg batch size 2.0 (last=1)")]
+
+
+def test_jpeg_through_the_image_source(spark, tmp_path):
+    """A JPEG written by the JVM, read by Spark's image source, against its own picture and through both modes."""
+    jvm, rng = spark._jvm, np.random.default_rng(3)
+    picture = np.kron(rng.integers(0, 256, (10, 8, 3)), np.ones((32, 32, 1))).astype(np.uint8)
+    image = jvm.java.awt.image.BufferedImage(picture.shape[1], picture.shape[0], 1)
+    for y in range(0, picture.shape[0], 32):
+        for x in range(0, picture.shape[1], 32):
+            graphics = image.createGraphics()
+            graphics.setColor(jvm.java.awt.Color(*map(int, picture[y, x])))
+            graphics.fillRect(x, y, 32, 32)
+    folder = tmp_path / "jpeg"
+    folder.mkdir()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(folder / "a.jpg")))
+    (folder / "b.jpg").write_bytes(b"\xff\xd8\xff broken")
+    read = inputs.images(spark, str(folder))
+    assert read.count() == 2 and inputs.images(spark, str(folder), drop_invalid=True).count() == 1
+    for mode in ("default", "turbo"):
+        rows = {r.height: r for r in scoring.preprocess_images(read, mode).collect()}
+        assert rows[-1].error is not None and rows[320].error is None
+        got, want = np.array(rows[320].input).reshape(3, 224, 224), pixels.preprocess(picture, mode)
+        assert np.abs(got - want).mean() < 0.1 and np.corrcoef(got.ravel(), want.ravel())[0, 1] > 0.99
+
+
+def test_results_array(spark):
+    import json
+
+    row = dict.fromkeys(sinks.CSV_COLUMNS, 1.5) | {"concurrency": 16, "gpu_mem_max_mib": 512, "gpu_samples": 7, "errors": 0}
+    text = sinks.results_json(spark.createDataFrame([row, row | {"concurrency": 4}])).first().json
+    assert [r["concurrency"] for r in json.loads(text)] == [4, 16] and json.loads(text)[1] == row and "\n" in text
+
+
 # streams
 
 
+class Timers:
+    """A key's state and timers, and a clock, in place of Spark's."""
+
+    def __init__(self):
+        self.now, self.set, self.value = 0, set(), None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.set.add(at)
+
+    def deleteTimer(self, at):
+        self.set.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+
+def live(max_batch, max_wait_us, rows):
+    """(id, batch) of rows (ms, id) that come one a trigger, their times being those of the clock; timers fire when due."""
+    import pandas as pd
+
+    timers, made = Timers(), []
+    own = batcher.Batcher(max_batch, max_wait_us)
+    own.init(timers)
+    for at, i in rows:
+        for due in sorted(t for t in timers.set if t <= at):
+            timers.now = due
+            timers.set.remove(due)
+            list(own.handleExpiredTimer(("k",), timers, timers))
+        timers.now = at
+        (out,) = own.handleInputRows(("k",), iter([pd.DataFrame({"ts_us": [at * 1000], "id": [i]})]), timers)
+        made += zip(out["id"], out["batch_id"], strict=True)
+        assert len(timers.set) <= 1  # of the open batch alone
+    return made
+
+
+def test_live_timers_belong_to_their_batch():
+    rows = [(8 * i, i) for i in range(8)] + [(57, 8), (101, 9), (157, 10), (158, 11), (400, 12)]
+    assert live(8, 100_000, rows) == [(i, 0) for i in range(8)] + [(8, 1), (9, 1), (10, 2), (11, 2), (12, 3)]
+    assert live(1, 100_000, rows) == [(i, i) for i in range(13)]
+
+
+def test_a_stale_timer_closes_nothing():
+    timers = Timers()
+    own = batcher.Batcher(8, 100_000)
+    own.init(timers)
+    timers.value, timers.now = (1, 3, 57_000, 157), 100
+    list(own.handleExpiredTimer(("k",), timers, timers))
+    assert timers.value == (1, 3, 57_000, 157)
+    timers.now = 157
+    list(own.handleExpiredTimer(("k",), timers, timers))
+    assert timers.value == (1, 0, 57_000, -1)
+
+
+def test_live_batches_with_timers(spark, tmp_path):
+    """Rows of one time, put into the source before and after the open batch's timer fires: two batches, though the rows' times would fit one."""
+    import time
+
+    def put(k):
+        spark.createDataFrame([("a", 0, k)], "key string, ts long, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def seen(n):
+        until = time.time() + 60
+        while spark.table("timed").count() < n and time.time() < until:
+            time.sleep(0.2)
+        return sorted((r.id, r.batch_id) for r in spark.table("timed").collect())
+
+    put(0)
+    stream = inputs.requests(spark, str(tmp_path / "in"), "key string, ts long, id long")
+    query = batcher.live_batches(stream, "key", "ts", "id", 8, 500_000).writeStream.format("memory").queryName("timed").outputMode("append")
+    query = query.option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    try:
+        assert seen(1) == [(0, 0)]
+        time.sleep(4)
+        put(1)
+        assert seen(2) == [(0, 0), (1, 1)]
+    finally:
+        query.stop()
+
+
 def test_live_batches_equal_replay(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(["a", "b", "c"][int(k)], int(t), i) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), np.sort(rng.integers(0, 5000, 200)), strict=True))]

@@ -158,28 +158,26 @@ def decode_png(content: bytes) -> np.ndarray:
         raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * channels)
     except (struct.error, zlib.error, TypeError, KeyError, ValueError) as e:
         raise DecodeError(f"broken PNG: {e}") from e
-    out = np.zeros((h, w * channels), np.uint8)
-    above = np.zeros(w * channels, np.uint8)
-    for y in range(h):
-        out[y] = above = _unfilter(int(raw[y, 0]), raw[y, 1:], above, channels)
-    picture = out.reshape(h, w, channels)
+    picture = _unfilter(raw[:, 0], raw[:, 1:].reshape(h, w, channels))
     return palette[picture[..., 0]] if colour == 3 else picture
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return line.copy()
-    if kind == 2:
-        return line + above
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
-    out, up = line.astype(np.int64), above.astype(np.int64)
-    for i in range(len(out)):
-        left, corner = (out[i - step], up[i - step]) if i >= step else (0, 0)
-        if kind == 3:
-            guess = (left + up[i]) // 2
-        else:
-            p = left + up[i] - corner
-            guess = min((left, up[i], corner), key=lambda v: abs(p - v))
-        out[i] = (out[i] + guess) & 255
-    return out.astype(np.uint8)
+def _unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Pixels of filtered lines. Where a line's filter needs its left and upper pixels, all lines advance together along diagonals."""
+    h, w, channels = lines.shape
+    out = np.zeros((h + 1, w + 1, channels), np.uint8)  # with a line above and a pixel on the left
+    if (kinds <= 2).all():
+        for y, kind in enumerate(kinds.tolist()):
+            out[y + 1, 1:] = np.cumsum(lines[y], axis=0, dtype=np.uint8) if kind == 1 else lines[y] + out[y, 1:] if kind == 2 else lines[y]
+        return out[1:, 1:]
+    for d in range(w + h - 1):
+        y = np.arange(max(0, d - w + 1), min(h - 1, d) + 1)
+        x = d - y
+        left, up, corner = (out[a, b].astype(np.int16) for a, b in ((y + 1, x), (y, x + 1), (y, x)))
+        near = left + up - corner
+        by_left, by_up, by_corner = np.abs(near - left), np.abs(near - up), np.abs(near - corner)
+        paeth = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        kind = kinds[y, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:]

@@ -26,8 +26,8 @@ def rank_of(q: Column, n: Column) -> Column:
 
 
 def quantiles(rows: DataFrame, key: str, value: str, qs: Sequence[float]) -> DataFrame:
-    """(key, q, value) for each group and q, of whole numbers that aren't negative; null values are passed over."""
-    known = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("bigint").alias("v")).withColumn("b", _bucket(F.col("v")))
+    """(key, q, value) for each group and q, of whole numbers that aren't negative; null values are passed over, a null key is a group."""
+    known = rows.where(F.col(value).isNotNull()).select(F.struct(F.col(key)).alias("k"), F.col(value).cast("bigint").alias("v")).withColumn("b", _bucket(F.col("v")))
     up = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     coarse = known.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
     placed = coarse.withColumn("before", F.coalesce(F.sum("n").over(up("k", "b")), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
@@ -36,4 +36,4 @@ def quantiles(rows: DataFrame, key: str, value: str, qs: Sequence[float]) -> Dat
     fine = known.join(hit.select("k", "b").distinct(), ["k", "b"]).groupBy("k", "b", "v").agg(F.count(F.lit(1)).alias("n"))
     counted = fine.withColumn("before", F.coalesce(F.sum("n").over(up("k", "b", "v")), F.lit(0)))
     found = counted.join(hit, ["k", "b"]).where("rank >= before AND rank < before + n")
-    return found.select(F.col("k").alias(key), "q", F.col("v").alias(value))
+    return found.select(F.col("k")[key].alias(key), "q", F.col("v").alias(value))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,11 @@ def _fold(rows: DataFrame, key: str, order: list[str], fields: list[str], step:
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(work, schema)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, written to the session's checkpoint folder where it names one: a replay that is read more than once runs once."""
+    return rows if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else rows.checkpoint()
+
+
 def microbatch_assign(requests: DataFrame, key: str, ts_us: str, order: str, max_batch: int, max_wait_us: int) -> DataFrame:
     """requests plus batch_id and pos. A batch opens with its first row and takes rows up to max_batch that come within max_wait_us of it, the limit included."""
     max_batch = max(1, max_batch)
@@ -83,15 +88,37 @@ def admission(requests: DataFrame, key: str, ts_us: str, order: str, service_us:
     return _fold(requests, key, [ts_us, order], [ts_us, service_us], step, list, {"admitted": "boolean"})
 
 
+def closed_loop(requests: DataFrame, key: str, order: list[str], latency: str, workers: str) -> DataFrame:
+    """requests plus start: when a closed loop of a key's `workers` (its first row's) sends each row, from zero on.
+
+    Each worker sends the next row in order as soon as its last one is answered.
+    """
+
+    def step(free, columns):
+        latencies, some = columns
+        if not free:
+            free = [0] * max(1, int(some[0]))
+        start = np.empty(len(latencies), np.int64)
+        for i, x in enumerate(latencies.tolist()):
+            start[i] = free[0]
+            heapq.heapreplace(free, free[0] + x)
+        return free, [start]
+
+    return _fold(requests, key, order, [latency, workers], step, list, {"start": "bigint"})
+
+
 def fail_batches(rows: DataFrame, batch: list[str], error: str) -> DataFrame:
-    """rows whose error is their batch's first error, in order of text: one failure fails every member."""
-    first = rows.groupBy(*batch).agg(F.min(error).alias("_error"))
-    return rows.join(first, batch).withColumn(error, F.col("_error")).drop("_error")
+    """rows whose error is their batch's first error, in order of text: one failure fails every member. A null is a batch's name like any other."""
+    return rows.withColumn(error, F.min(error).over(Window.partitionBy(*batch)))
+
 
+def drain(rows: DataFrame, ts_us: str, taken_us: str, stop_us, message: str = "engine shutting down") -> DataFrame:
+    """rows plus error: the message for rows that at the stop were still queued, not yet taken into a batch, or that came after it.
 
-def drain(rows: DataFrame, ts_us: str, done_us: str, stop_us: int, message: str = "engine stopped") -> DataFrame:
-    """rows plus error: the message for rows that were queued at the stop, or came after it."""
-    return rows.withColumn("error", F.when(F.col(done_us) > stop_us, F.lit(message)))
+    Rows of batches that were being gathered or run are answered. stop_us is a number or a column.
+    """
+    stop = F.lit(stop_us) if isinstance(stop_us, int) else stop_us
+    return rows.withColumn("error", F.when((F.col(taken_us) > stop) | (F.col(ts_us) > stop), F.lit(message)))
 
 
 def round_robin(seq, n: int):

@@ -11,10 +11,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidescore.functions import pixels
-from tidescore.functions.scalars import INPUT_LENGTH, SHORT_SIDE, SIDE
+from tidescore.functions.scalars import SHORT_SIDE, SIDE
 
 #: Rows of a run, at most.
 MAX_BATCH = 32
@@ -139,16 +138,16 @@ def preprocess_images(images: DataFrame, mode: str = "rounded", short_side: int
     return images.mapInArrow(work, schema)
 
 
-def tiles(rows: DataFrame, id_col: str, tile_col: str, tile: int, mode: str, short_side: int, side: int, mean: float, std: float, raw_bytes: bool = False) -> DataFrame:
-    """(id, values): square grey tiles of bytes resized, cropped and normalised; raw_bytes stops after the resize."""
+def tiles(rows: DataFrame, id_col: str, tile_col: str, tile: int, mode: str, short_side: int, side: int, mean: tuple[float, ...], std: tuple[float, ...], raw_bytes: bool = False) -> DataFrame:
+    """(id, values): square tiles of bytes, a channel for each mean, resized, cropped and normalised; raw_bytes stops after the resize."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for values in batch.column(1).to_pylist():
-                picture = np.array(values, np.uint8).reshape(tile, tile, 1)
-                made = pixels.bilinear(picture, *pixels.resized(tile, tile, short_side)) if raw_bytes else pixels.preprocess(picture, mode, short_side, side, (mean,), (std,))
+                picture = np.array(values, np.uint8).reshape(tile, tile, len(mean))
+                made = pixels.bilinear(picture, *pixels.resized(tile, tile, short_side)) if raw_bytes else pixels.preprocess(picture, mode, short_side, side, mean, std)
                 out.append(made.astype(np.float64).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "values"])
 
@@ -161,9 +160,3 @@ def route(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     Spark broadcasts the labels if they are small, and shuffles otherwise.
     """
     return predictions.join(labels.select("class_index", "class_name"), "class_index", "left")
-
-
-def guard(input_col: str, length: int = INPUT_LENGTH):
-    from tidescore.functions.scalars import input_error
-
-    return input_error(F.col(input_col), length)

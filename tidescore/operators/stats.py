@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidescore.functions.scalars import ns_to_ms_by_us
@@ -27,30 +27,59 @@ def _truncated_mean_ms(total: str, n: str):
     return F.when(F.col(n) > 0, ns_to_ms_by_us(F.expr(f"{total} div {n}"))).otherwise(F.lit(0.0))
 
 
+def same_key(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """a joined with b by a key that both have; a null equals a null."""
+    return a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
+
+
+def _summary(rows: DataFrame, level: str, latency_ns: Column, **more: Column) -> DataFrame:
+    """(level, more, mean_ms, p50_ms, p95_ms, p99_ms, max_ms): one aggregate of all rows, and the quantiles of latencies that aren't null."""
+    rows = rows.withColumn("_ns", latency_ns)
+    marks = quantiles(rows, level, "_ns", list(QUANTILES.values()))
+    wide = marks.groupBy(level).agg(*[F.max(F.when(F.col("q") == q, ns_to_ms_by_us(F.col("_ns")))).alias(name) for name, q in QUANTILES.items()])
+    totals = rows.groupBy(level).agg(_wide_sum("_ns").alias("_sum"), F.count("_ns").alias("_n"), F.max("_ns").alias("_max"), *[c.alias(name) for name, c in more.items()])
+    return same_key(totals, wide, level, "left").select(level, *more, _truncated_mean_ms("_sum", "_n").alias("mean_ms"), *QUANTILES, ns_to_ms_by_us(F.col("_max")).alias("max_ms"))
+
+
 def latencies(rows: DataFrame, level: str, latency_ns: str) -> DataFrame:
-    """(level, mean_ms, p50_ms, p95_ms, p99_ms, max_ms) over all rows of a level."""
-    marks = quantiles(rows, level, latency_ns, list(QUANTILES.values()))
-    wide = marks.groupBy(level).agg(*[F.max(F.when(F.col("q") == q, ns_to_ms_by_us(F.col(latency_ns)))).alias(name) for name, q in QUANTILES.items()])
-    totals = rows.groupBy(level).agg(_wide_sum(latency_ns).alias("_sum"), F.count(latency_ns).alias("_n"), F.max(latency_ns).alias("_max"))
-    return totals.join(wide, level).select(level, _truncated_mean_ms("_sum", "_n").alias("mean_ms"), *QUANTILES, ns_to_ms_by_us(F.col("_max")).alias("max_ms"))
+    """(level, mean_ms, p50_ms, p95_ms, p99_ms, max_ms) over all rows of a level; null is a level."""
+    return _summary(rows, level, F.col(latency_ns))
+
 
+def _elapsed(elapsed_sec: DataFrame | Column) -> dict[str, Column]:
+    return {"elapsed_sec": elapsed_sec} if isinstance(elapsed_sec, Column) else {}
 
-def closed_loop(rows: DataFrame, level: str, latency_ns: str, ok: str, elapsed_sec: DataFrame) -> DataFrame:
-    """requests, errors, elapsed_sec, throughput_req_s and latencies of each level. Failed requests count in latencies, not in throughput. elapsed_sec: (level, elapsed_sec)."""
-    counts = rows.groupBy(level).agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col(ok)).alias("errors"))
-    thru = _ratio((F.col("requests") - F.col("errors")).cast("double"), F.col("elapsed_sec"))
-    return counts.join(elapsed_sec, level).join(latencies(rows, level, latency_ns), level).withColumn("throughput_req_s", thru)
 
+def closed_loop(rows: DataFrame, level: str, latency_ns: str, ok: str, elapsed_sec: DataFrame | Column) -> DataFrame:
+    """requests, errors, elapsed_sec, throughput_req_s and latencies of each level. Failed requests count in latencies, not in throughput.
 
-def open_loop(rows: DataFrame, rate: str, latency_ns: str, ok: str, overrun: str, elapsed_sec: DataFrame) -> DataFrame:
-    """achieved, completed, errors, overruns and latencies of each offered rate. Latencies are those of successes only; overruns were never sent."""
+    elapsed_sec: an aggregate over a level's rows, or a table (level, elapsed_sec).
+    """
+    out = _summary(rows, level, F.col(latency_ns), requests=F.count(F.lit(1)), errors=F.count_if(~F.col(ok)), **_elapsed(elapsed_sec))
+    if isinstance(elapsed_sec, DataFrame):
+        out = same_key(out, elapsed_sec, level)
+    return out.withColumn("throughput_req_s", _ratio((F.col("requests") - F.col("errors")).cast("double"), F.col("elapsed_sec")))
+
+
+def open_loop(rows: DataFrame, rate: str, latency_ns: str, ok: str, overrun: str, elapsed_sec: DataFrame | Column) -> DataFrame:
+    """achieved, completed, errors, overruns and latencies of each offered rate. Latencies are those of successes only; overruns were never sent. elapsed_sec: as in closed_loop."""
     sent = ~F.col(overrun)
-    counts = rows.groupBy(rate).agg(F.count_if(sent & F.col(ok)).alias("completed"), F.count_if(sent & ~F.col(ok)).alias("errors"), F.count_if(F.col(overrun)).alias("overruns"))
-    done = rows.where(sent & F.col(ok))
-    out = counts.join(elapsed_sec, rate).join(latencies(done, rate, latency_ns).drop("max_ms"), rate, "left")
+    counts = {"completed": F.count_if(sent & F.col(ok)), "errors": F.count_if(sent & ~F.col(ok)), "overruns": F.count_if(F.col(overrun))}
+    out = _summary(rows, rate, F.when(sent & F.col(ok), F.col(latency_ns)), **counts, **_elapsed(elapsed_sec)).drop("max_ms")
+    if isinstance(elapsed_sec, DataFrame):
+        out = same_key(out, elapsed_sec, rate)
     return out.withColumn("achieved", _ratio(F.col("completed").cast("double"), F.col("elapsed_sec"))).drop("elapsed_sec").na.fill(0.0, ["mean_ms", *QUANTILES])
 
 
+def progress(batches: DataFrame, key: str, order: str, n: str, every: int = 200) -> DataFrame:
+    """(key, line) at every so many batches of a key: how many were run, their mean size, the last one's. A key's batches are walked in one task."""
+    run = Window.partitionBy(key).orderBy(order)
+    walked = batches.select(key, F.col(n).alias("n"), F.row_number().over(run).alias("b"), F.sum(n).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("rows"))
+    mean = F.expr("format_number(rows / b, '0.0')")  # rounds the exact binary value, as C does
+    line = F.format_string("batching: %d batches run, avg batch size %s (last=%d)", F.col("b"), mean, F.col("n"))
+    return walked.where(F.col("b") % every == 0).select(key, line.alias("line"))
+
+
 def batch_stats(batches: DataFrame, by: list[str]) -> DataFrame:
     """batches, requests and avg_batch_size from rows with n, failed batches included."""
     return batches.groupBy(*by).agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("requests")).withColumn("avg_batch_size", _ratio(F.col("requests").cast("double"), F.col("batches")))

@@ -122,7 +122,7 @@ def tile_rows(spark, d) -> DataFrame:
 
 
 def tile_values(spark, d, mode, raw_bytes=False) -> DataFrame:
-    rows = scoring.tiles(tile_rows(spark, d), "vec_id", "tile", TILE, mode, BIG, CROP, scalars.MEAN[0], scalars.STD[0], raw_bytes)
+    rows = scoring.tiles(tile_rows(spark, d), "vec_id", "tile", TILE, mode, BIG, CROP, scalars.MEAN[:1], scalars.STD[:1], raw_bytes)
     side = BIG if raw_bytes else CROP
     return rows.select(F.col("id").alias("vec_id"), F.posexplode("values").alias("i", "v")).select("vec_id", F.floor(F.col("i") / side).cast("int").alias("y"), (F.col("i") % side).cast("int").alias("x"), "v")
 
@@ -142,6 +142,27 @@ def tile_fused(spark, d):
     return tile_values(spark, d, "fused").groupBy("vec_id").agg(F.round(F.avg("v"), 4).alias("mean"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"))
 
 
+#: Half-pixel grid of a 4x4 tile of three channels resized to 8x8, 6x6 of it cropped.
+RGB_SQL = """
+rgb AS (SELECT vec_id, list_transform(embedding[1:48], lambda e: CAST(least(greatest(floor((e + 0.5) * 256), 0), 255) AS DOUBLE)) AS p FROM embeddings),
+places AS (SELECT range AS o, greatest(least(CAST(floor((range + 0.5) * 0.5 - 0.5) AS INT), 3), 0) AS a, least(CAST(floor((range + 0.5) * 0.5 - 0.5) AS INT) + 1, 3) AS b,
+                  (range + 0.5) * 0.5 - 0.5 - floor((range + 0.5) * 0.5 - 0.5) AS f FROM range(1, 7)),
+channels(c, mean, std) AS (VALUES (0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)),
+edges AS (SELECT vec_id, c, mean, std, y.o AS y, x.o AS x, y.f AS fy, p[(y.a * 4 + x.a) * 3 + c + 1] + (p[(y.a * 4 + x.b) * 3 + c + 1] - p[(y.a * 4 + x.a) * 3 + c + 1]) * x.f AS top,
+                 p[(y.b * 4 + x.a) * 3 + c + 1] + (p[(y.b * 4 + x.b) * 3 + c + 1] - p[(y.b * 4 + x.a) * 3 + c + 1]) * x.f AS low FROM rgb, places y, places x, channels)"""
+
+
+@query(f"""WITH {RGB_SQL} SELECT vec_id, CAST(c AS INT) AS channel, CAST(y - 1 AS INT) AS y, CAST(x - 1 AS INT) AS x,
+  round((floor(top + (low - top) * fy + 0.5) / 255 - CAST(mean AS DOUBLE)) / CAST(std AS DOUBLE), 4) AS v FROM edges""")
+def tile_rgb_chw(spark, d):
+    """Interleaved pixels of three channels to normalised planes."""
+    rows = tile_rows(spark, d).select("vec_id", F.slice("tile", 1, 48).alias("tile"))
+    made = scoring.tiles(rows, "vec_id", "tile", 4, "rounded", 8, 6, scalars.MEAN, scalars.STD)
+    v, i = made.select(F.col("id").alias("vec_id"), F.posexplode("values").alias("i", "v")), F.col("i")
+    place = lambda of: F.floor(of).cast("int")
+    return v.select("vec_id", place(i / 36).alias("channel"), place(i % 36 / 6).alias("y"), (i % 6).cast("int").alias("x"), F.round("v", 4).alias("v"))
+
+
 @query(f"""WITH {TILE_SQL}, {GRID_SQL}, off AS (SELECT vec_id, abs(floor(v + 0.5) - p[(y // 2) * 8 + x // 2 + 1]) AS a FROM blend JOIN tiles USING (vec_id))
 SELECT vec_id, round(avg(a), 6) AS mean_abs, CAST(max(a) AS INT) AS max_abs, round(avg(CASE WHEN a <= 8 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS within_pct FROM off GROUP BY vec_id""")
 def pixel_parity(spark, d):
@@ -242,8 +263,9 @@ def requests(spark, d) -> DataFrame:
     )
 
 
-def elapsed(rows: DataFrame, by: str) -> DataFrame:
-    return rows.groupBy(by).agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("elapsed_sec"))
+def elapsed():
+    """Of a level's rows, seconds from the first to the last."""
+    return (F.max("ts_us") - F.min("ts_us")) / 1e6
 
 
 RANKS = ", ".join(f"s[1 + CAST(least(floor({q}::DOUBLE * len(s)), len(s) - 1) AS BIGINT)] AS {n}_ns" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
@@ -257,7 +279,7 @@ SELECT CAST(level AS INT) AS concurrency, requests, errors, elapsed_sec, ((total
        round((requests - errors) / elapsed_sec, 9) AS throughput_req_s FROM p""")
 def latency_summary(spark, d):
     rows = requests(spark, d).withColumnRenamed("level", "concurrency")
-    out = stats.closed_loop(rows, "concurrency", "latency_ns", "ok", elapsed(rows, "concurrency"))
+    out = stats.closed_loop(rows, "concurrency", "latency_ns", "ok", elapsed())
     return out.select("concurrency", "requests", "errors", "elapsed_sec", "mean_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms", F.round("throughput_req_s", 9).alias("throughput_req_s"))
 
 
@@ -290,9 +312,9 @@ p AS (SELECT *, {RANKS} FROM g)
 SELECT event_type, completed, errors, overruns, round(completed / sec, 9) AS achieved, coalesce(((total // completed) // 1000) / 1000.0::DOUBLE, 0) AS mean_ms,
        {', '.join(f'coalesce(({n}_ns // 1000) / 1000.0::DOUBLE, 0) AS {n}_ms' for n in ('p50', 'p95', 'p99'))} FROM p JOIN span USING (event_type)""")
 def open_loop_summary(spark, d):
-    rows = requests(spark, d).withColumn("ok", F.col("value") < 300)
-    sent = replay.admission(rows, "event_type", "ts_us", "event_id", "service_us", SLOTS).withColumn("overrun", ~F.col("admitted"))
-    out = stats.open_loop(sent, "event_type", "latency_ns", "ok", "overrun", elapsed(rows, "event_type"))
+    rows = requests(spark, d).select("event_id", "event_type", "ts_us", "service_us", "latency_ns", (F.col("value") < 300).alias("ok"))
+    sent = replay.settled(replay.admission(rows, "event_type", "ts_us", "event_id", "service_us", SLOTS).withColumn("overrun", ~F.col("admitted")))
+    out = stats.open_loop(sent, "event_type", "latency_ns", "ok", "overrun", elapsed())
     return out.select("event_type", "completed", "errors", "overruns", F.round("achieved", 9).alias("achieved"), "mean_ms", "p50_ms", "p95_ms", "p99_ms")
 
 
@@ -347,11 +369,13 @@ def timing_stats(spark, d):
     return stats.timing_stats(batch_facts(spark, d), ["event_type", "epoch"]).select("event_type", "epoch", *[F.round(c, 6).alias(c) for c in TIMINGS])
 
 
-@query(f"""WITH RECURSIVE {REQUESTS}, {ORDERED}, {BATCHED}, {FACTS}, t AS (SELECT event_type, count(*) AS batches, CAST(sum(n) AS BIGINT) AS requests, {TIMING_SQL} FROM facts GROUP BY event_type)
-SELECT event_type, '{{"requests":' || requests || ',"batches":' || batches || ',"rejects":0}}' AS document FROM t""")
-def stats_document(spark, d):
-    rows = stats.batch_stats(batch_facts(spark, d), ["event_type"])
-    return rows.select("event_type", F.to_json(F.struct("requests", "batches", F.lit(0).alias("rejects"))).alias("document"))
+PROGRESS_EVERY = 20
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, {ORDERED}, {BATCHED}, {FACTS}, told AS (SELECT event_type, n, row_number() OVER w AS b, sum(n) OVER w AS total FROM facts WINDOW w AS (PARTITION BY event_type ORDER BY batch_id))
+SELECT event_type, 'batching: ' || b || ' batches run, avg batch size ' || printf('%.1f', CAST(total AS DOUBLE) / b) || ' (last=' || n || ')' AS line FROM told WHERE b % {PROGRESS_EVERY} = 0""")
+def progress_lines(spark, d):
+    return stats.progress(batch_facts(spark, d), "event_type", "batch_id", "n", PROGRESS_EVERY)
 
 
 @query(f"""WITH RECURSIVE {REQUESTS}, {ORDERED}, {BATCHED} SELECT event_id, CASE WHEN bool_or(NOT ok) OVER (PARTITION BY event_type, batch_id) THEN 'inference failed' END AS error FROM walk""")
@@ -361,12 +385,27 @@ def fail_batch(spark, d):
     return replay.fail_batches(rows, ["event_type", "batch_id"], "error").select("event_id", "error")
 
 
-@query(f"WITH {REQUESTS} SELECT event_id, CASE WHEN ts_us + service_us > (SELECT max(ts_us) - 86400000000 FROM requests) THEN 'engine stopped' END AS error FROM requests")
+@query(f"""WITH {REQUESTS}, stop AS (SELECT max(ts_us) - 86400000000 AS us FROM requests)
+SELECT event_id, CASE WHEN ts_us > us OR ts_us + service_us // 4 > us THEN 'engine shutting down' END AS error FROM requests, stop""")
 def drain(spark, d):
-    """Requests in the queue at a stop one day before the last event."""
-    rows = requests(spark, d).withColumn("done_us", F.col("ts_us") + F.col("service_us"))
-    stop = rows.agg(F.max("ts_us")).first()[0] or 0
-    return replay.drain(rows, "ts_us", "done_us", stop - 86400000000).select("event_id", "error")
+    """Requests that wait a quarter of their service's time to be taken into a batch, at a stop one day before the last event."""
+    rows = requests(spark, d).withColumn("taken_us", F.col("ts_us") + F.expr("service_us div 4"))
+    stop = rows.agg(F.max("ts_us") - 86400000000).scalar()
+    return replay.drain(rows, "ts_us", "taken_us", stop).select("event_id", "error")
+
+
+LOOPED = """walk AS (
+  SELECT level, i, event_id, latency_ns, CAST(0 AS BIGINT) AS start, list_sort(list_append(list_resize([]::BIGINT[], level - 1, 0), latency_ns)) AS free FROM turns WHERE i = 1
+  UNION ALL
+  SELECT t.level, t.i, t.event_id, t.latency_ns, w.free[1], list_sort(list_append(w.free[2:], w.free[1] + t.latency_ns)) FROM walk w JOIN turns t ON t.level = w.level AND t.i = w.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, turns AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY ts_us, event_id) AS i FROM requests WHERE user_id % 4 < 3), {LOOPED}
+SELECT event_id, CAST(level AS INT) AS level, start FROM walk""")
+def closed_loop_replay(spark, d):
+    """As many workers as the level, each sending its next request when the last one is answered."""
+    rows = requests(spark, d).where("user_id % 4 < 3").select("event_id", "level", "ts_us", "latency_ns", F.col("level").alias("workers"))
+    return replay.closed_loop(rows, "level", ["ts_us", "event_id"], "latency_ns", "workers").select("event_id", "level", "start")
 
 
 @query("SELECT event_id, CAST((event_id + 1) % 2 AS BIGINT) AS image FROM events")
@@ -402,6 +441,35 @@ def stats_document_fields(spark, d):
     return got.select("event_type", "requests", "batches", "rejects", "preproc_count", *[F.round(c, 6).alias(c) for c in STATS_FIELDS])
 
 
+STATS_KEYS = ("avg_batch_size", *TIMINGS, "avg_gpu_decode_ms", "avg_cpu_normalize_ms", "avg_cpu_decode_ms", "avg_cpu_resize_normalize_ms")
+DECODED_SQL = "(SELECT event_type, coalesce(sum({decode}), 0) / (count(*) * 1e6) AS decode_ms, coalesce(sum({normalise}), 0) / (count(*) * 1e6) AS normalise_ms, count(*) AS n FROM requests WHERE ok AND user_id % 3 = {k} GROUP BY event_type)"
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, {ORDERED}, {BATCHED}, {FACTS}, {ADMITTED.replace("walk", "gate")},
+t AS (SELECT event_type, count(*) AS batches, CAST(sum(n) AS BIGINT) AS requests, round(sum(n) / count(*), 6) AS avg_batch_size, {TIMING_SQL} FROM facts GROUP BY event_type),
+r AS (SELECT event_type, count(*) FILTER (NOT admitted) AS rejects FROM gate GROUP BY event_type),
+g AS {DECODED_SQL.format(decode="latency_ns", normalise="latency_ns // 4", k=1)}, c AS {DECODED_SQL.format(decode="latency_ns // 2", normalise="latency_ns // 8", k=2)}
+SELECT event_type, '{",".join(sorted((*STATS_KEYS, "requests", "batches", "rejects", "preproc_count")))}' AS keys, requests, batches, rejects, coalesce(c.n, 0) AS preproc_count,
+  {", ".join(("avg_batch_size", *TIMINGS))}, round(coalesce(g.decode_ms, 0), 6) AS avg_gpu_decode_ms, round(coalesce(g.normalise_ms, 0), 6) AS avg_cpu_normalize_ms,
+  round(coalesce(c.decode_ms, 0), 6) AS avg_cpu_decode_ms, round(coalesce(c.normalise_ms, 0), 6) AS avg_cpu_resize_normalize_ms
+FROM t JOIN r USING (event_type) LEFT JOIN g USING (event_type) LEFT JOIN c USING (event_type)""")
+def stats_document(spark, d):
+    """The whole /stats document of a server with both decoders: its keys, and what it says of each."""
+    rows = requests(spark, d).where("ok")
+
+    def decoded(k, decode, normalise):
+        some = rows.withColumns({"ok": F.col("user_id") % 3 == k, "decode_ns": F.expr(decode), "normalise_ns": F.expr(normalise)})
+        return stats.preprocess_stats(some, ["event_type"], "decode_ns", "normalise_ns", "ok")
+
+    made = stats.stats_document(
+        replay.settled(batch_facts(spark, d)), admission_rejects(spark, d), ["event_type"], gpu=decoded(1, "latency_ns", "latency_ns div 4"), cpu=decoded(2, "latency_ns div 2", "latency_ns div 8")
+    )
+    longs = ("requests", "batches", "rejects", "preproc_count")
+    schema = ", ".join([f"{c} long" for c in longs] + [f"{c} double" for c in STATS_KEYS])
+    got = made.select("event_type", F.array_join(F.json_object_keys("document"), ",").alias("keys"), F.from_json("document", schema).alias("f")).select("event_type", "keys", "f.*")
+    return got.select("event_type", "keys", *longs, *[F.round(c, 6).alias(c) for c in STATS_KEYS])
+
+
 @query("""SELECT event_type, round(avg(u), 6) AS util_avg, CAST(max(u) AS DOUBLE) AS util_max, CAST(max(m) AS INT) AS mem_max, count(u) AS count
 FROM (SELECT event_type, CASE WHEN user_id % 11 <> 0 THEN user_id % 101 END AS u, CASE WHEN user_id % 11 <> 0 THEN 1000 + user_id % 977 END AS m FROM events) GROUP BY event_type""")
 def gpu_metric_summary(spark, d):
@@ -427,6 +495,21 @@ def request_status(spark, d):
     return table(spark, d, "events").select("event_id", validation.status(*args).alias("status"), validation.message(*args).alias("message"))
 
 
+@query("""WITH forms AS (
+  SELECT event_id, user_id % 2 = 0 AS multipart, CASE WHEN user_id % 4 = 0 THEN props END AS image, CASE WHEN user_id % 3 = 0 THEN 'file ' || event_id END AS file, props AS body FROM events),
+chosen AS (SELECT event_id, multipart, CASE WHEN multipart THEN coalesce(image, file) ELSE body END AS body FROM forms)
+SELECT event_id, CAST(octet_length(encode(body)) AS INT) AS size, CASE WHEN multipart AND body IS NULL THEN 'multipart request without an "image" or "file" field'
+  WHEN octet_length(encode(body)) > 20 THEN 'could not read image body: http: request body too large' END AS error FROM chosen""")
+def request_bodies(spark, d):
+    """Forms with a picture under either name or neither, raw bodies, and bodies beyond a limit of 20 bytes."""
+    u = F.col("user_id")
+    image, file = F.when(u % 4 == 0, F.col("props")), F.when(u % 3 == 0, F.concat(F.lit("file "), F.col("event_id").cast("string")))
+    multipart = u % 2 == 0
+    body = inputs.request_body(image.cast("binary"), file.cast("binary"), F.col("props").cast("binary"), multipart)
+    rows = table(spark, d, "events").select("event_id", body.alias("body"), multipart.alias("multipart"))
+    return rows.select("event_id", F.octet_length("body").alias("size"), inputs.body_error(F.col("body"), F.col("multipart"), 20).alias("error"))
+
+
 @query(f"WITH {LABELS}, {TOP1} SELECT vec_id, '{{\"class_index\":' || class_index || CASE WHEN class_name IS NOT NULL THEN ',\"class_name\":\"' || class_name || '\"' ELSE '' END || '}}' AS body FROM top LEFT JOIN labels_ USING (class_index)")
 def response_json(spark, d):
     """Bodies without the confidence, whose digits the engines print differently."""
@@ -447,18 +530,43 @@ def speedup_vs_first(spark, d):
     return stats.speedup(levels, "level", "ms").withColumn("speedup", F.round("speedup", 9))
 
 
-@query(f"""WITH {REQUESTS}, g AS (
+RESULTS_SQL = f"""{REQUESTS}, g AS (
   SELECT CAST(level AS INT) AS c, count(*) AS n, count(*) FILTER (NOT ok) AS errors, (max(ts_us) - min(ts_us)) / 1e6 AS sec, list_sort(list(latency_ns)) AS s, CAST(sum(latency_ns) AS BIGINT) AS total,
-         avg(user_id % 101) AS ua, CAST(max(user_id % 101) AS DOUBLE) AS um, max(1000 + user_id % 977) AS mm FROM requests GROUP BY level), p AS (SELECT *, {RANKS} FROM g), q AS (SELECT *, {MS} FROM p)
-SELECT c AS concurrency, c || ',' || printf('%.2f', (n - errors) / sec) || ',' || printf('%.2f', p50_ms) || ',' || printf('%.2f', p95_ms) || ',' || printf('%.2f', p99_ms) || ',' ||
-  printf('%.2f', ((total // n) // 1000) / 1000.0::DOUBLE) || ',' || printf('%.2f', (s[-1] // 1000) / 1000.0::DOUBLE) || ',' || printf('%.1f', ua) || ',' || printf('%.1f', um) || ',' || mm || ',' || n || ',' || errors || ',' || printf('%.3f', sec) AS line FROM q""")
-def results_csv(spark, d):
-    rows = requests(spark, d).withColumnRenamed("level", "concurrency")
-    out = stats.closed_loop(rows, "concurrency", "latency_ns", "ok", elapsed(rows, "concurrency"))
-    u = F.col("user_id")
+         avg(user_id % 101) AS ua, CAST(max(user_id % 101) AS DOUBLE) AS um, max(1000 + user_id % 977) AS mm FROM requests GROUP BY level), p AS (SELECT *, {RANKS} FROM g),
+q AS (SELECT *, {MS}, (n - errors) / sec AS thru, ((total // n) // 1000) / 1000.0::DOUBLE AS mean_ms, (s[-1] // 1000) / 1000.0::DOUBLE AS max_ms FROM p)"""
+
+
+def results(spark, d) -> DataFrame:
+    """A closed loop's result table: a row per level, with its meter's summary."""
+    rows, u = requests(spark, d).withColumnRenamed("level", "concurrency"), F.col("user_id")
+    out = stats.closed_loop(rows, "concurrency", "latency_ns", "ok", elapsed())
     meter = stats.meter_summary(rows.select("concurrency", (u % 101).alias("u"), (u % 977 + 1000).alias("m")), ["concurrency"], "u", "m")
     meter = meter.selectExpr("concurrency", "util_avg AS gpu_util_avg_pct", "util_max AS gpu_util_max_pct", "mem_max AS gpu_mem_max_mib", "count AS gpu_samples")
-    return sinks.csv_lines(out.join(meter, "concurrency"))
+    return out.join(meter, "concurrency")
+
+
+@query(f"""WITH {RESULTS_SQL}
+SELECT c AS concurrency, c || ',' || printf('%.2f', thru) || ',' || printf('%.2f', p50_ms) || ',' || printf('%.2f', p95_ms) || ',' || printf('%.2f', p99_ms) || ',' ||
+  printf('%.2f', mean_ms) || ',' || printf('%.2f', max_ms) || ',' || printf('%.1f', ua) || ',' || printf('%.1f', um) || ',' || mm || ',' || n || ',' || errors || ',' || printf('%.3f', sec) AS line FROM q""")
+def results_csv(spark, d):
+    return sinks.csv_lines(results(spark, d))
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT c AS concurrency, round(thru, 6) AS throughput_req_s, p50_ms, p95_ms, p99_ms, mean_ms, max_ms, round(ua, 6) AS gpu_util_avg_pct, um AS gpu_util_max_pct,
+  CAST(mm AS INT) AS gpu_mem_max_mib, n AS gpu_samples, errors, sec AS elapsed_sec, CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS place FROM q""")
+def results_json(spark, d):
+    """The result file's JSON array, read back with each row's place in it."""
+    kinds = {"d": "long", "f": "double"}
+    schema = "array<struct<" + ",".join(f"{c}:{kinds[how[-1]]}" for c, how in sinks.CSV_COLUMNS.items()) + ">>"
+    read = sinks.results_json(results(spark, d)).select(F.posexplode(F.from_json("json", schema)).alias("place", "r")).select("place", "r.*")
+    whole = {"concurrency": F.col("concurrency").cast("int"), "gpu_mem_max_mib": F.col("gpu_mem_max_mib").cast("int")}
+    return read.withColumns(whole | {c: F.round(c, 6) for c in ("throughput_req_s", "gpu_util_avg_pct")})
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT c AS concurrency, '| ' || printf('%11d', c) || ' | ' || printf('%18.1f', thru) || ' | ' || printf('%8.1f', p50_ms) || ' | ' || printf('%8.1f', p95_ms) || ' | ' || printf('%8.1f', p99_ms) ||
+  ' | ' || printf('%9.1f', mean_ms) || ' | ' || printf('%8.1f', max_ms) || ' | ' || printf('%11.0f', ua) || '% | ' || printf('%11.0f', um) || '% | ' || printf('%6d', errors) || ' |' AS line FROM q""")
+def results_markdown(spark, d):
+    return sinks.table_lines(results(spark, d), sinks.CLOSED_TABLE)
 
 
 @query("""WITH top AS (SELECT vec_id, list_transform(range(10), lambda c: list_dot_product(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: ((3 * i + 5 * c) % 11 - 5) / 8.0::DOUBLE))) AS s FROM embeddings)

@@ -32,9 +32,9 @@ def request_body(image: Column, file: Column, body: Column, multipart: Column) -
     return F.when(multipart, F.coalesce(image, file)).otherwise(body)
 
 
-def body_error(body: Column, multipart: Column) -> Column:
+def body_error(body: Column, multipart: Column, most: int = MAX_BODY_BYTES) -> Column:
     size = F.octet_length(body)
-    return F.when(body.isNull() & multipart, F.lit('multipart request without an "image" or "file" field')).when(size > MAX_BODY_BYTES, F.lit("could not read image body: http: request body too large"))
+    return F.when(body.isNull() & multipart, F.lit('multipart request without an "image" or "file" field')).when(size > most, F.lit("could not read image body: http: request body too large"))
 
 
 def requests(spark: SparkSession, path: str, schema, max_files: int = 16) -> DataFrame:

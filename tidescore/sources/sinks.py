@@ -51,16 +51,35 @@ def csv_lines(results: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """JSON lines under path/json, the CSV file under path/csv."""
+    """JSON lines under path/json, the CSV file under path/csv, the JSON array under path/array."""
+    results_json(results).coalesce(1).write.mode("overwrite").text(f"{path}/array")
     results.write.mode("overwrite").json(f"{path}/json")
     names = list(CSV_COLUMNS)
     cells = csv_lines(results).orderBy("concurrency").select(*[F.split("line", ",")[i].alias(c) for i, c in enumerate(names)])
     cells.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+def results_json(results: DataFrame) -> DataFrame:
+    """(json): one row, a JSON array of the result rows by concurrency. Result tables have a row per load level."""
+    rows = F.array_sort(F.collect_list(F.struct(*CSV_COLUMNS)))
+    return results.agg(F.to_json(rows, {"pretty": "true"}).alias("json"))
+
+
+def table_lines(results: DataFrame, table: dict[str, tuple[str, str]]) -> DataFrame:
+    """(the first column, line): the lines of a Markdown table, without its head."""
+    first = next(iter(table))
+    kind = results.schema[first].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            lines = ["| " + " | ".join(_format(r[c], how) for c, (_, how) in table.items()) + " |" for r in f.to_dict("records")]
+            yield pd.DataFrame({first: f[first], "line": lines})
+
+    return results.select(*table).mapInPandas(work, f"`{first}` {kind}, line string")
+
+
 def markdown(results: DataFrame, table: dict[str, tuple[str, str]]) -> str:
     """A Markdown table of a result frame, by its first column."""
-    rows = results.select(*table).orderBy(next(iter(table))).collect()
     widths = [max(len(head), len(_format(0, how))) for head, how in table.values()]
     lines = ["| " + " | ".join(head for head, _ in table.values()) + " |", "|" + "|".join("-" * (w + 1) + ":" for w in widths) + "|"]
-    return "\n".join(lines + ["| " + " | ".join(_format(r[c], how) for c, (_, how) in table.items()) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + [r.line for r in table_lines(results, table).orderBy(next(iter(table))).collect()]) + "\n"

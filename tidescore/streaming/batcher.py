@@ -13,18 +13,23 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class Batcher(StatefulProcessor):
-    """Keeps, per key, the open batch's number, size and first time. A batch closes when it is full, when a row comes after its wait, or when its timer fires."""
+    """Keeps, per key, the open batch's number, size, first time and the deadline of its timer.
+
+    A batch closes when it is full, when a row comes after its wait, or when its timer fires. A timer belongs to the batch
+    that is open when a trigger ends: it is set when that batch opens, deleted when it closes, and ignored if it comes late.
+    A key's rows of one trigger are sorted in memory; the source bounds a trigger's intake.
+    """
 
     def __init__(self, max_batch: int, max_wait_us: int):
         self.max_batch, self.max_wait_us = max(1, max_batch), max_wait_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "batch long, size int, first_us long")
+        self.open = handle.getValueState("open", "batch long, size int, first_us long, deadline_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch, size, first = self.open.get() if self.open.exists() else (-1, 0, 0)
-        waiting = size > 0
+        batch, size, first, deadline = self.open.get() if self.open.exists() else (-1, 0, 0, -1)
+        waiting = batch if size else None
         every = pd.concat(list(rows)).sort_values(["ts_us", "id"], kind="stable")
         out = []
         for ts, row in zip(every["ts_us"].tolist(), every["id"].tolist(), strict=True):
@@ -34,17 +39,21 @@ class Batcher(StatefulProcessor):
             size += 1
         if size >= self.max_batch:
             size = 0
-        self.open.update((batch, size, first))
-        if size and not waiting:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            if now >= 0:
-                self.handle.registerTimer(now + max(1, self.max_wait_us // 1000))
+        if waiting != (batch if size else None):  # the batch that was open has closed, or another one is open
+            if deadline >= 0:
+                self.handle.deleteTimer(deadline)
+            now, deadline = timerValues.getCurrentProcessingTimeInMs(), -1
+            if size and now >= 0:
+                deadline = now + max(1, self.max_wait_us // 1000)
+                self.handle.registerTimer(deadline)
+        self.open.update((batch, size, first, deadline))
         yield pd.DataFrame(out, columns=["key", "id", "batch_id", "pos"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            batch, _, first = self.open.get()
-            self.open.update((batch, 0, first))  # closed: the next row opens another
+            batch, size, first, deadline = self.open.get()
+            if size and deadline == expiredTimerInfo.getExpiryTimeInMs():
+                self.open.update((batch, 0, first, -1))  # closed: the next row opens another
         return iter([])
 
     def close(self) -> None:
