@@ -100,7 +100,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         joined = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates([key, "_h1", "_h2"]))
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     whole = F.col("taken") - (F.col("copy") - 1) * F.col("size") >= F.col("size")
-    first = F.expr(rf"array_join(slice(regexp_extract_all({text}, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0), 1, cast(taken - (copy - 1) * size as int)), '')")
+    first = F.expr(rf"array_join(slice(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, cast(taken - (copy - 1) * size as int)), '')")
     out = copies.withColumn(text, F.when(whole, F.col(text)).otherwise(first))
     if "n_chars" in names:
         chars = plain[names.index("n_chars")]
