@@ -106,7 +106,7 @@ def test_sentencepiece_cache_is_bounded_in_bytes():
     words = [" ".join(f"{chr(0x3B1 + int(k) % 24)}w{k}" for k in rng.integers(0, 100_000, 5000)) for _ in range(3)]
     texts = [*lines, "\n".join(lines), *words]
     assert own.encode_all(texts) == own.library.encode(texts)
-    for cache in (own.parts, own.plain, own.spaced):
+    for cache in (own.parts, own.cuts):
         assert sum(len(c) + len(i) + sentencepiece_bpe.CUT_BYTES for c, i in cache.items()) <= 2 * 400_000 and all(len(c) <= sentencepiece_bpe.LONG_CUT for c in cache)
     assert gc.isenabled()
 

@@ -5,7 +5,8 @@ best pair is joined, the pairs at its two ends enter the agenda, and entries who
 A symbol that is not in the vocabulary becomes its UTF-8 bytes' pieces.
 
 No join crosses a place between two characters that stand side by side in no piece. Texts are cut there first, which
-changes no result and lets a cache, bounded in bytes, hold the ids of cuts seen before.
+changes no result: before runs of spaces and around line ends, by arrays of a batch's bytes, then elsewhere. The batch's
+distinct cuts are looked up in a cache, bounded in bytes, of the ids of cuts seen before, and their ids laid out by arrays.
 
 Every Arrow batch is checked against the sentencepiece library's own encoding of its texts; any difference raises.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
-import re
+import itertools
 from array import array
 from pathlib import Path
 
@@ -34,12 +35,12 @@ from tidescore.llm import common
 SPACE = "▁"
 NORMAL = 1
 #: Cuts that a worker's cache holds, and bytes of them and their ids, before it starts anew.
-CACHE_CUTS, CACHE_BYTES = 600_000, 200_000_000
+CACHE_CUTS, CACHE_BYTES = 400_000, 80_000_000
 #: Bytes that a cut takes beyond its characters and ids, and characters beyond which one is not kept.
 CUT_BYTES, LONG_CUT = 200, 64
 #: Characters up to which the agenda is a plain list.
 SHORT = 40
-#: Characters below which the words of a batch are encoded together.
+#: Characters up to which the cuts of a batch are encoded together.
 TOGETHER = 32
 #: Code points whose pairs have a table of their own.
 DENSE = 384
@@ -47,8 +48,6 @@ DENSE = 384
 NUMBER_BITS = 24
 NUMBER_MASK, NO_PAIR = (1 << NUMBER_BITS) - 1, 1 << 62
 
-_CUTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
 _coders: dict[bytes, "Coder"] = {}
 
 
@@ -73,13 +72,23 @@ class _Ids(dict):
     def __init__(self, find, most: int, most_bytes: int):
         self.find, self.most, self.most_bytes, self.bytes = find, most, most_bytes, 0
 
-    def __missing__(self, cut: str):
+    def __missing__(self, cut):
         ids = self.find(cut)
         if len(cut) <= LONG_CUT:
             self.room(1, CUT_BYTES + len(cut) + len(ids))
             self[cut] = ids
         return ids
 
+    def take(self, found: dict) -> None:
+        """Keeps what was found together, or as much of it as there is room for in an empty cache."""
+        size = sum(map(len, found)) + sum(map(len, found.values())) + CUT_BYTES * len(found)
+        share = min(1.0, self.most / max(1, len(found)), self.most_bytes / max(1, size))
+        if share < 1:
+            found = dict(itertools.islice(found.items(), int(share * len(found))))
+            size = sum(map(len, found)) + sum(map(len, found.values())) + CUT_BYTES * len(found)
+        self.room(len(found), size)
+        self.update(found)
+
     def room(self, cuts: int, size: int) -> None:
         if len(self) + cuts > self.most or self.bytes + size > self.most_bytes:
             self.clear()
@@ -124,9 +133,9 @@ class Coder:
         single = [c for p, c in self.costs.items() if len(p) > 1 and p.strip(SPACE)]
         self.distinct_scores = len(set(single)) == len(single)
         self.line_end = pack([self.bytes[10]])
-        self.parts = _Ids(self.agenda, cache // 4, cache_bytes // 8)
-        self.plain = _Ids(self.cut, cache, cache_bytes // 8)
-        self.spaced = _Ids(lambda word: self.cut(SPACE + word), cache, cache_bytes * 3 // 4)
+        self.parts = _Ids(self.agenda, cache // 4, cache_bytes // 4)
+        self.cuts = _Ids(lambda cut: self.cut(cut.decode().replace(" ", SPACE)), cache, cache_bytes * 3 // 4)
+        self.cuts[b"\n"] = self.line_end
 
     def agenda(self, text: str) -> bytes:
         """Ids of a text, white space escaped, by joining the best pair of neighbours until none is left."""
@@ -201,55 +210,53 @@ class Coder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Words that are not in the cache are encoded together first."""
-        plan, words = [], set()
-        for text in texts:
-            lines = []
-            for i, line in enumerate(text.split("\n") if text else ()):
-                if "  " in line or SPACE in line or not i and line[:1] == " ":
-                    lines.append((_CUTS.findall((line if i else " " + line).replace(" ", SPACE)), ()))
-                elif i:
-                    first, *rest = line.split(" ")
-                    lines.append(((first,) if first else (), rest))
-                    words.update(rest)
-                else:
-                    rest = line.split(" ")
-                    lines.append(((), rest))
-                    words.update(rest)
-            plan.append(lines)
-        plain, spaced = self.plain, self.spaced
+        """Ids of each text. Cuts that are not in the cache are encoded together first."""
+        if not texts:
+            return []
+        raw = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
+        starts, ends = boundaries(raw)
+        data = pa.py_buffer(b"".join(raw))
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), data]).dictionary_encode()
+        distinct, which = column.dictionary.to_pylist(), column.indices.to_numpy()
+        cuts = dict.fromkeys(distinct)
+        cuts.update((w, dict.__getitem__(self.cuts, w)) for w in cuts.keys() & self.cuts.keys())
         if self.distinct_scores:
-            self.learn([w for w in words.difference(spaced) if len(w) < TOGETHER and "\0" not in w])
-        result = []
-        for lines in plan:
-            out: list[bytes] = []
-            for i, (cuts, rest) in enumerate(lines):
-                if i:
-                    out.append(self.line_end)
-                out.extend(map(plain.__getitem__, cuts))
-                out.extend(map(spaced.__getitem__, rest))
-            result.append(np.frombuffer(b"".join(out), np.int32).tolist())
-        return result
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes words with their leading space into the cache: the agenda of short(), for all words of like length at once."""
-        self.spaced.room(len(words), sum(map(len, words)) * 5 + CUT_BYTES * len(words))  # at most one id of four bytes a character, or nearly
+            cuts.update(self.learn([w for w, ids in cuts.items() if ids is None and len(w) <= LONG_CUT and b"  " not in w and b"\0" not in w]))
+        known = [self.cuts[w] if ids is None else ids for w, ids in cuts.items()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        count = sizes[which]
+        after = np.concatenate([[0], np.cumsum(count)])
+        ids = np.frombuffer(b"".join(known), np.int32)[np.arange(after[-1]) + np.repeat(places[which] - after[:-1], count)]
+        edges = after[ends].tolist()
+        return [ids[s:e].tolist() for s, e in zip([0, *edges[:-1]], edges, strict=True)]
+
+    def learn(self, cuts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of those cuts that are short, put into the cache: the agenda of short(), for all cuts of like length at once."""
         by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
+        for w in map(bytes.decode, cuts):
+            if len(w) <= TOGETHER:
+                by_length.setdefault(len(w), []).append(w)
+        found: dict[bytes, bytes] = {}
+
+        def keep(words, symbols: np.ndarray) -> None:
+            if (symbols >= self.size).any():
+                ids = [pack(self.spelled(row)) for row in symbols.tolist()]
+            else:
+                packed, step = symbols.astype(np.int32).tobytes(), 4 * symbols.shape[1]
+                ids = [packed[k : k + step] for k in range(0, len(packed), step)]
+            found.update(zip(map(str.encode, words), ids, strict=True))
+
         for length, some in by_length.items():
-            symbols = np.full((len(some), length + 1), self.numbers[SPACE], np.int64)
-            waiting = np.empty((len(some), 0), np.int64)
-            if length:
-                points = np.array(some, f"U{length}").view(np.uint32).reshape(len(some), length)
-                symbols[:, 1:] = self.number_table[points]
-                place = np.zeros(symbols.shape, np.int64)  # of a character in the dense table
-                place[:, 1:] = np.minimum(points, DENSE - 1) + 1
-                waiting = self.dense[place[:, :-1], place[:, 1:]]
-                far = points >= DENSE
-                far[:, 1:] |= far[:, :-1].copy()
-                if far.any():
-                    waiting[far] = self.entries(symbols[:, :-1][far], symbols[:, 1:][far])
+            points = np.array(some, f"U{length}").view(np.uint32).reshape(len(some), length)
+            points[points == 32] = ord(SPACE)
+            symbols = self.number_table[points]
+            place = np.where(points == ord(SPACE), 0, np.minimum(points, DENSE - 1) + 1)  # of a character in the dense table
+            waiting = self.dense[place[:, :-1], place[:, 1:]]
+            far = (points >= DENSE) & (points != ord(SPACE))
+            far = far[:, 1:] | far[:, :-1]
+            if far.any():
+                waiting[far] = self.entries(symbols[:, :-1][far], symbols[:, 1:][far])
             at, rows = np.arange(len(some)), np.arange(len(some))
             while len(at):  # every word left has had as many joins, so all have as many symbols
                 if waiting.shape[1]:
@@ -259,31 +266,24 @@ class Coder:
                 else:
                     go = np.zeros(len(at), bool)
                 if not go.all():
-                    self.keep(map(some.__getitem__, at[~go].tolist()), symbols[~go])
+                    keep(map(some.__getitem__, at[~go].tolist()), symbols[~go])
                     if not go.any():
                         break
                     at, symbols, waiting, i, least = at[go], symbols[go], waiting[go], i[go], least[go]
                     rows = rows[: len(at)]
                 symbols[rows, i] = least & NUMBER_MASK
-                keep = np.ones(symbols.shape, bool)
-                keep[rows, i + 1] = False
-                symbols = symbols[keep].reshape(len(at), -1)
-                keep = np.ones(waiting.shape, bool)
-                keep[rows, i] = False
-                waiting = waiting[keep].reshape(len(at), -1)
+                keep_symbol = np.ones(symbols.shape, bool)
+                keep_symbol[rows, i + 1] = False
+                symbols = symbols[keep_symbol].reshape(len(at), -1)
+                keep_pair = np.ones(waiting.shape, bool)
+                keep_pair[rows, i] = False
+                waiting = waiting[keep_pair].reshape(len(at), -1)
                 after = np.flatnonzero(i < waiting.shape[1])
                 waiting[after, i[after]] = self.entries(symbols[after, i[after]], symbols[after, i[after] + 1])
                 before = np.flatnonzero(i > 0)
                 waiting[before, i[before] - 1] = self.entries(symbols[before, i[before] - 1], symbols[before, i[before]])
-
-    def keep(self, words, symbols: np.ndarray) -> None:
-        """Puts the ids of words into the cache."""
-        if (symbols >= self.size).any():
-            ids = [pack(self.spelled(row)) for row in symbols.tolist()]
-        else:
-            packed, step = symbols.astype(np.int32).tobytes(), 4 * symbols.shape[1]
-            ids = [packed[k : k + step] for k in range(0, len(packed), step)]
-        self.spaced.update(zip(words, ids, strict=True))
+        self.cuts.take(found)
+        return found
 
     def entries(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Agenda entries of pairs of numbers; NO_PAIR where they join to no piece."""
@@ -292,6 +292,22 @@ class Coder:
         return np.where(self.join_keys[place] == key, self.join_entries[place], NO_PAIR)
 
 
+def boundaries(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the cuts of joined texts and the end; of each text, the number of cuts up to its end).
+
+    A cut is a line end, or a run of spaces with what follows it, or a line's start without a space.
+    """
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(sizes)
+    text = np.frombuffer(b"".join(raw), np.uint8)
+    space, line = text == 32, text == 10
+    begins = line.copy()
+    begins[1:] |= line[:-1] | space[1:] & ~space[:-1]
+    begins[(ends - sizes)[sizes > 0]] = True
+    starts = np.append(np.flatnonzero(begins), len(text)).astype(np.int64)
+    return starts, np.searchsorted(starts, ends)
+
+
 def coder(model: bytes) -> Coder:
     """This worker's coder for a model, with its cache."""
     if model not in _coders:
