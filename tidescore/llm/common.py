@@ -13,12 +13,24 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes up at once, but for one longer text.
 TEXT_BYTES = 3_000_000
+#: Rows of an Arrow batch that the entry points ask for.
+ENTRY_ROWS = 1000
 #: A key's share of all rows, as a fraction 1 / HOT, beyond which its rows don't go through a shuffle; no more than HOT keys can have it.
 HOT = 4096
 #: Rows of a table of split postings up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SPLITS = 100_000
 
 
+def entry_session(spark: SparkSession) -> SparkSession:
+    """For entry points, not operators: a session that leaves the rows of an Arrow batch at Spark's default gets ENTRY_ROWS, for executors of little memory.
+
+    Operators take texts up in slices bounded by bytes whatever the batches are, and their results don't depend on it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ENTRY_ROWS))
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where it names none, a local session gets a temporary one; a cluster must name one that its machines share."""
     context = spark.sparkContext

@@ -7,11 +7,11 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidescore.llm import chat, embedding_dedup, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, sentencepiece_bpe, simhash
+from tidescore.llm import chat, common, embedding_dedup, html_extract, language_id, license_scan, mixing, quality_classifier, quality_rules, sentencepiece_bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.entry_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def model_path() -> str:
