@@ -40,7 +40,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("language_id", language), ("quality_rules", quality), ("simhash_dedup", deduplicate), ("mix", mix), ("sentencepiece", encode)]
+def _entry(stage):
+    """A stage in a session whose Arrow batches fit executors of little memory."""
+    return lambda spark, docs, sf_dir: stage(common.entry_session(spark), docs, sf_dir)
+
+
+STAGES = [(name, _entry(stage)) for name, stage in (("language_id", language), ("quality_rules", quality), ("simhash_dedup", deduplicate), ("mix", mix), ("sentencepiece", encode))]
 
 #: SQL can't express the trained stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
