@@ -41,39 +41,49 @@ def taps(size: int, out: int, start: int, count: int) -> tuple[np.ndarray, np.nd
     return np.clip(low, 0, size - 1), np.clip(low + 1, 0, size - 1), weight
 
 
-def bilinear(picture: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Resized to (h, w), rounded to bytes."""
-    x0, x1, fx = taps(picture.shape[1], w, 0, w)
-    y0, y1, fy = taps(picture.shape[0], h, 0, h)
-    p = picture.astype(np.float64)
-    fx, fy = fx[None, :, None], fy[:, None, None]
-    top = p[y0][:, x0] + (p[y0][:, x1] - p[y0][:, x0]) * fx
-    low = p[y1][:, x0] + (p[y1][:, x1] - p[y1][:, x0]) * fx
-    return np.clip(np.floor(top + (low - top) * fy + 0.5), 0, 255).astype(np.uint8)
+def _between(near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return near + (far - near) * weight
+
+
+def _blend(near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return near * (1 - weight) + far * weight
+
+
+def _resample(picture: np.ndarray, w: int, h: int, box: tuple[int, int, int, int], mix, kind) -> np.ndarray:
+    """A box (left, top, columns, rows) of the picture resized to (h, w): along source lines first, then between them."""
+    left, top, columns, rows = box
+    x0, x1, fx = taps(picture.shape[1], w, left, columns)
+    y0, y1, fy = taps(picture.shape[0], h, top, rows)
+    lines = picture[y0[0] : y1[-1] + 1]
+    across = mix(lines[:, x0].astype(kind), lines[:, x1].astype(kind), fx.astype(kind)[None, :, None])
+    return mix(across[y0 - y0[0]], across[y1 - y0[0]], fy.astype(kind)[:, None, None])
+
+
+def bilinear(picture: np.ndarray, w: int, h: int, box: tuple[int, int, int, int] | None = None) -> np.ndarray:
+    """Resized to (h, w), or a box (left, top, columns, rows) of that, rounded to bytes."""
+    made = _resample(picture, w, h, box or (0, 0, w, h), _between, np.float64)
+    return np.clip(np.floor(made + 0.5), 0, 255).astype(np.uint8)
 
 
 def normalise(picture: np.ndarray, mean=MEAN, std=STD) -> np.ndarray:
-    """(channels, height, width) float32 of a cropped picture."""
-    scaled = (picture.astype(np.float32) / np.float32(255) - np.asarray(mean, np.float32)) / np.asarray(std, np.float32)
+    """(channels, height, width) float32 of a cropped picture. Bytes are looked up, as they have 256 results a channel."""
+    mean, std = np.asarray(mean, np.float32), np.asarray(std, np.float32)
+    if picture.dtype == np.uint8:
+        results = (np.arange(256, dtype=np.float32)[:, None] / np.float32(255) - mean) / std
+        return np.stack([results[:, c][picture[..., c]] for c in range(len(mean))])
+    scaled = (picture.astype(np.float32) / np.float32(255) - mean) / std
     return np.ascontiguousarray(scaled.transpose(2, 0, 1))
 
 
-def crop(picture: np.ndarray, side: int) -> np.ndarray:
-    y, x = (picture.shape[0] - side) // 2, (picture.shape[1] - side) // 2
-    return picture[y : y + side, x : x + side]
+def middle(w: int, h: int, side: int) -> tuple[int, int, int, int]:
+    """The box that a centre crop keeps."""
+    return (w - side) // 2, (h - side) // 2, side, side
 
 
 def fused(picture: np.ndarray, short_side: int = SHORT_SIDE, side: int = SIDE, mean=MEAN, std=STD) -> np.ndarray:
     """Resize, crop and normalise at once: the cropped results only, float32, not rounded in between."""
-    h, w = picture.shape[:2]
-    rw, rh = resized(w, h, short_side)
-    x0, x1, fx = taps(w, rw, (rw - side) // 2, side)
-    y0, y1, fy = taps(h, rh, (rh - side) // 2, side)
-    p = picture.astype(np.float32)
-    fx, fy = fx.astype(np.float32)[None, :, None], fy.astype(np.float32)[:, None, None]
-    top = p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx
-    low = p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx
-    return normalise(top * (1 - fy) + low * fy, mean, std)
+    w, h = resized(picture.shape[1], picture.shape[0], short_side)
+    return normalise(_resample(picture, w, h, middle(w, h, side), _blend, np.float32), mean, std)
 
 
 def preprocess(picture: np.ndarray, mode: str = "rounded", short_side: int = SHORT_SIDE, side: int = SIDE, mean=MEAN, std=STD) -> np.ndarray:
@@ -83,7 +93,8 @@ def preprocess(picture: np.ndarray, mode: str = "rounded", short_side: int = SHO
         return fused(picture, short_side, side, mean, std)
     if mode != "rounded":
         raise ValueError(f"unknown mode {mode!r}")
-    return normalise(crop(bilinear(picture, *resized(picture.shape[1], picture.shape[0], short_side)), side), mean, std)
+    w, h = resized(picture.shape[1], picture.shape[0], short_side)
+    return normalise(bilinear(picture, w, h, middle(w, h, side)), mean, std)
 
 
 def premultiply(rgba: np.ndarray) -> np.ndarray:

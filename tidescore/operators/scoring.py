@@ -133,7 +133,11 @@ def preprocess_images(images: DataFrame, mode: str = "rounded", short_side: int
                 except pixels.DecodeError as e:
                     out.append(None)
                     errors.append(f"could not decode image (expected JPEG or PNG): {e}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32())), pa.array(errors, pa.string())], [*names, "input", "error"])
+            missing = np.array([x is None for x in out], bool)
+            whole = [x for x in out if x is not None]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in out])]), pa.int32())
+            inputs = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(whole) if whole else np.zeros(0, np.float32)), mask=pa.array(missing))
+            yield pa.RecordBatch.from_arrays([*batch.columns, inputs, pa.array(errors, pa.string())], [*names, "input", "error"])
 
     return images.mapInArrow(work, schema)
 
