@@ -6,7 +6,7 @@ is at least a fixed threshold, for every document alike. Counts cover all docume
 
 All documents are counted where they lie; the trusted ones, found by a semi-join with the ids of good labels, are counted
 apart. The plan is the same at every size: documents whose id's slot, one of SLOTS, holds no trusted id are dropped by a
-broadcast of the slots, whose number is bounded, and Spark joins the others with the ids. A partition adds up its own
+broadcast of the slots, whose number is bounded, and the others are shuffled to the ids. A partition adds up its own
 counts and yields one row per bucket it met; the rows are summed by bucket. Only the finished model, of BUCKETS weights,
 comes to the driver.
 
@@ -107,7 +107,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     slots = trusted.select(slot("_id").alias("_slot")).distinct()
     likely = docs.select("doc_id", "text").join(F.broadcast(slots), slot("doc_id") == F.col("_slot"), "left_semi")
     raw = bucket_counts(docs.select("text"))
-    target = bucket_counts(likely.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").select("text"))
+    target = bucket_counts(likely.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("text"))
     if not target.sum():
         return np.zeros(BUCKETS)
     share = lambda x: (x + SMOOTHING / BUCKETS * (x.sum() / raw.sum())) / (x.sum() * (1 + SMOOTHING / raw.sum()))
