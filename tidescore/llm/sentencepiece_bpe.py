@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import itertools
 from array import array
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +36,9 @@ from tidescore.llm import common
 SPACE = "▁"
 NORMAL = 1
 #: Cuts that a worker's cache holds, and bytes of them and their ids, before it starts anew.
-CACHE_CUTS, CACHE_BYTES = 400_000, 80_000_000
+CACHE_CUTS, CACHE_BYTES = 400_000, 64_000_000
+#: Characters of the texts whose ids stand as lists at once, but for one longer text.
+PART_CHARS = 500_000
 #: Bytes that a cut takes beyond its characters and ids, and characters beyond which one is not kept.
 CUT_BYTES, LONG_CUT = 200, 64
 #: Characters up to which the agenda is a plain list.
@@ -210,9 +213,14 @@ class Coder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Cuts that are not in the cache are encoded together first."""
+        """Ids of each text."""
+        ids, edges = self.encode_flat(texts)
+        return [ids[s:e].tolist() for s, e in itertools.pairwise(edges.tolist())]
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's start and the last one's end). Cuts that are not in the cache are encoded together first."""
         if not texts:
-            return []
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
         starts, ends = boundaries(raw)
         data = pa.py_buffer(b"".join(raw))
@@ -228,8 +236,7 @@ class Coder:
         count = sizes[which]
         after = np.concatenate([[0], np.cumsum(count)])
         ids = np.frombuffer(b"".join(known), np.int32)[np.arange(after[-1]) + np.repeat(places[which] - after[:-1], count)]
-        edges = after[ends].tolist()
-        return [ids[s:e].tolist() for s, e in zip([0, *edges[:-1]], edges, strict=True)]
+        return ids, np.concatenate([[0], after[ends]])
 
     def learn(self, cuts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of those cuts that are short, put into the cache: the agenda of short(), for all cuts of like length at once."""
@@ -315,13 +322,17 @@ def coder(model: bytes) -> Coder:
     return _coders[model]
 
 
-def encode_batch(own: Coder, texts: list[str]) -> list[list[int]]:
-    """Ids of each text, checked against the library."""
-    ids = own.encode_all(texts)
-    for text, mine, theirs in zip(texts, ids, own.library.encode(texts, num_threads=1), strict=True):
-        if mine != theirs:
-            raise RuntimeError(f"encoding differs from the library's for a text of {len(text)} characters: {text[:80]!r}")
-    return ids
+def checked(own: Coder, texts: list[str]) -> Iterator[tuple[list[str], list[list[int]]]]:
+    """The texts and their ids in parts of PART_CHARS, after a comparison with the library's ids of every text."""
+    ids, edges = own.encode_flat(texts)
+    parts = np.cumsum([len(t) for t in texts], dtype=np.int64) // PART_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
+    for s, e in itertools.pairwise(cuts):
+        theirs = own.library.encode(texts[s:e], num_threads=1)
+        for i, found in enumerate(theirs, s):
+            if found != ids[edges[i] : edges[i + 1]].tolist():
+                raise RuntimeError(f"encoding differs from the library's for a text of {len(texts[i])} characters: {texts[i][:80]!r}")
+        yield texts[s:e], theirs
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -334,21 +345,23 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         own = coder(model)
         digits = [str(i) for i in range(own.library.get_piece_size())]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
+        names = list(kinds)[: 5 if with_ids else 3]
         collects = gc.isenabled()
         gc.disable()  # a batch makes many lists and no cycles; looking for some costs a tenth of the time
         try:
             for batch in common.slices(batches, 1):
-                ids = encode_batch(own, [common.text_of(t) for t in batch.column(1).to_pylist()])
-                decoded = own.library.decode(ids, num_threads=1) if ids else []
-                columns = {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([sha(",".join(map(digits.__getitem__, x))) for x in ids], pa.string()),
-                    "decoded_sha256": pa.array([sha(x) for x in decoded], pa.string()),
-                }
-                if with_ids:
-                    columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                columns = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
+                for _, ids in checked(own, [common.text_of(t) for t in batch.column(1).to_pylist()]):
+                    decoded = own.library.decode(ids, num_threads=1) if ids else []
+                    columns["n_tokens"] += map(len, ids)
+                    columns["ids_sha256"] += [sha(",".join(map(digits.__getitem__, x))) for x in ids]
+                    columns["decoded_sha256"] += map(sha, decoded)
+                    if with_ids:
+                        columns["ids"] += [np.array(x, np.int32) for x in ids]
+                        columns["decoded"] += decoded
+                arrays = [pa.array(columns[c], kinds[c]) for c in names]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *names])
         finally:
             if collects:
                 gc.enable()
