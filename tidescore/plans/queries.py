@@ -187,6 +187,35 @@ def png_round_trip(spark, d):
     return tile_rows(spark, d).mapInArrow(work, "vec_id bigint, total bigint, format string")
 
 
+@query(f"""WITH {TILE_SQL}, halves AS (SELECT vec_id, i // 4 AS y, i % 4 AS x, p[16 * (i // 4) + 2 * (i % 4) + 1] + p[16 * (i // 4) + 2 * (i % 4) + 2] + p[16 * (i // 4) + 2 * (i % 4) + 9] + p[16 * (i // 4) + 2 * (i % 4) + 10] AS total
+  FROM tiles, range(16) AS r(i))
+SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(floor(total / 4 + 0.5) AS INT) AS v FROM halves""")
+def tile_scaled_decode(spark, d):
+    """Tiles written as PNG files' bytes and decoded at half their size."""
+
+    def work(batches):
+        for batch in batches:
+            made = [pixels.shrink(pixels.decode_png(pixels.encode_png(np.array(t, np.uint8).reshape(TILE, TILE, 1))), 1, 2).ravel().tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], ["vec_id", "half"])
+
+    rows = tile_rows(spark, d).mapInArrow(work, "vec_id bigint, half array<int>").select("vec_id", F.posexplode("half").alias("i", "v"))
+    return rows.select("vec_id", F.floor(F.col("i") / 4).cast("int").alias("y"), (F.col("i") % 4).cast("int").alias("x"), "v")
+
+
+@query(f"""WITH {TILE_SQL}, shades AS (SELECT vec_id, i, c, CAST(p[4 * i + c + 1] AS BIGINT) AS v, CAST(p[4 * i + 4] AS BIGINT) AS alpha FROM tiles, range(16) AS r(i), range(3) AS s(c))
+SELECT vec_id, CAST(i AS INT) AS pixel, CAST(c AS INT) AS channel, CAST((v * 257 * (alpha * 257) // 65535) >> 8 AS INT) AS v FROM shades""")
+def tile_alpha(spark, d):
+    """Tiles of 4x4 straight RGBA pixels, each colour times its alpha."""
+
+    def work(batches):
+        for batch in batches:
+            made = [pixels.to_rgb(np.array(t, np.uint8).reshape(4, 4, 4)).ravel().tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], ["vec_id", "rgb"])
+
+    rows = tile_rows(spark, d).mapInArrow(work, "vec_id bigint, rgb array<int>").select("vec_id", F.posexplode("rgb").alias("i", "v"))
+    return rows.select("vec_id", F.floor(F.col("i") / 3).cast("int").alias("pixel"), (F.col("i") % 3).cast("int").alias("channel"), "v")
+
+
 # Sizes, from parts.
 SIZES = "(SELECT p_partkey, CAST(p_size * 31 + p_partkey % 97 AS INT) AS w, CAST(p_size * 17 + p_partkey % 301 + 1 AS INT) AS h FROM part)"
 
@@ -495,6 +524,13 @@ def request_status(spark, d):
     return table(spark, d, "events").select("event_id", validation.status(*args).alias("status"), validation.message(*args).alias("message"))
 
 
+@query(f"""SELECT method, count(*) FILTER (method = 'POST' AND admitted AND body_error IS NULL AND decode_error IS NULL AND run_error IS NULL) AS answered, count(*) AS requests FROM {STATUS_ROWS} GROUP BY method""")
+def served_requests(spark, d):
+    """How many requests of a method were answered with a prediction."""
+    rows = request_status(spark, d).join(table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 10 == 0, "GET").otherwise("POST").alias("method")), "event_id")
+    return rows.groupBy("method").agg(F.count_if(validation.served(F.col("status"))).alias("answered"), F.count(F.lit(1)).alias("requests"))
+
+
 @query("""WITH forms AS (
   SELECT event_id, user_id % 2 = 0 AS multipart, CASE WHEN user_id % 4 = 0 THEN props END AS image, CASE WHEN user_id % 3 = 0 THEN 'file ' || event_id END AS file, props AS body FROM events),
 chosen AS (SELECT event_id, multipart, CASE WHEN multipart THEN coalesce(image, file) ELSE body END AS body FROM forms)
