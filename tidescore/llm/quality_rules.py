@@ -7,7 +7,7 @@ is at least a fixed threshold, for every document alike. Counts cover all docume
 All documents are counted where they lie; the trusted ones, found by a semi-join with the ids of good labels, are counted
 apart. The plan is the same at every size: documents whose id's slot, one of SLOTS, holds no trusted id are dropped by a
 broadcast of the slots, whose number is bounded, and the others are shuffled to the ids. A partition adds up its own
-counts and yields one row per bucket it met; the rows are summed by bucket. Only the finished model, of BUCKETS weights,
+counts and yields them in chunks of CHUNK buckets, which are summed by chunk. Only the finished model, of BUCKETS weights,
 comes to the driver.
 
 Defined cases: null text has no words; texts under ten words fail the base rules; a text without n-grams scores 0; without
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidescore.llm import common
 
-BUCKETS = 1 << 16
+BUCKETS, CHUNK = 1 << 16, 1 << 12
 ORDER = 3
 #: Pseudo-count that both multinomials get, split evenly over the buckets.
 SMOOTHING = 65_536.0
@@ -86,17 +86,28 @@ def buckets(text: str, order: int = ORDER, size: int = BUCKETS) -> np.ndarray:
 def bucket_counts(texts: DataFrame) -> np.ndarray:
     """How often each bucket is met in a column of texts."""
 
+    def pack(chunks: dict[int, np.ndarray]):
+        if chunks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([c.tobytes() for c in chunks.values()], pa.binary())], ["chunk", "counts"])
+
     def count(batches):
         tally = np.zeros(BUCKETS, np.int64)
         for batch in common.slices(batches, 0):
             for text in filter(None, batch.column(0).to_pylist()):
                 tally += np.bincount(buckets(text), minlength=BUCKETS)
-        met = np.flatnonzero(tally)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(tally[met])], ["bucket", "n"])
+        yield from pack({k: c for k, c in enumerate(tally.reshape(-1, CHUNK)) if c.any()})
+
+    def add(batches):
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chunks[chunk] = chunks.get(chunk, 0) + np.frombuffer(counts, np.int64)
+        yield from pack(chunks)
 
+    kinds = "chunk int, counts binary"
     out = np.zeros(BUCKETS)
-    for row in texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        out[row.bucket] = row.n
+    for row in texts.mapInArrow(count, kinds).repartition("chunk").mapInArrow(add, kinds).collect():  # BUCKETS / CHUNK rows
+        out[row.chunk * CHUNK :][:CHUNK] = np.frombuffer(row.counts, np.int64)
     return out
 
 
