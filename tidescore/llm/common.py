@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -57,6 +58,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTE
                 yield batch.slice(s, e - s)
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system; a Python worker waits for its next task as a small process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def crc_mod(column, modulus: int):
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -5,7 +5,7 @@ best pair is joined, the pairs at its two ends enter the agenda, and entries who
 A symbol that is not in the vocabulary becomes its UTF-8 bytes' pieces.
 
 No join crosses a place between two characters that stand side by side in no piece. Texts are cut there first, which
-changes no result: before runs of spaces and around line ends, by arrays of a batch's bytes, then elsewhere. The batch's
+changes no result: between ASCII characters, before spaces and around line ends by arrays of a batch's bytes, then elsewhere. The batch's
 distinct cuts are looked up in a cache, bounded in bytes, of the ids of cuts seen before, and their ids laid out by arrays.
 
 Every Arrow batch is checked against the sentencepiece library's own encoding of its texts; any difference raises.
@@ -36,7 +36,7 @@ from tidescore.llm import common
 SPACE = "▁"
 NORMAL = 1
 #: Cuts that a worker's cache holds, and bytes of them and their ids, before it starts anew.
-CACHE_CUTS, CACHE_BYTES = 400_000, 64_000_000
+CACHE_CUTS, CACHE_BYTES = 300_000, 56_000_000
 #: Characters of the texts whose ids stand as lists at once, but for one longer text.
 PART_CHARS = 500_000
 #: Bytes that a cut takes beyond its characters and ids, and characters beyond which one is not kept.
@@ -117,6 +117,11 @@ class Coder:
         self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(p[0] != SPACE and p[1] == SPACE for p in self.side_by_side) or any("\n" in p for p in self.ids):
             raise ValueError("pieces that hold a space after other text, or a line end, are not supported")
+        ascii_ = [SPACE if b == 32 else chr(b) for b in range(128)]
+        apart = np.zeros((256, 256), bool)  # of two ASCII characters; others are cut later
+        apart[:128, :128] = [[x + y not in self.side_by_side for y in ascii_] for x in ascii_]
+        apart[10, 128:] = apart[128:, 10] = apart[128:, 32] = True  # line ends, and spaces after other text
+        self.apart = apart.ravel()
         self.size = len(proto.pieces)
         self.numbers = _Numbers(self.ids, self.size)
         order = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
@@ -222,7 +227,7 @@ class Coder:
         if not texts:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw = [(" " + t.replace(SPACE, " ")).encode() if t else b"" for t in texts]
-        starts, ends = boundaries(raw)
+        starts, ends = boundaries(raw, self.apart)
         data = pa.py_buffer(b"".join(raw))
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), data]).dictionary_encode()
         distinct, which = column.dictionary.to_pylist(), column.indices.to_numpy()
@@ -299,17 +304,17 @@ class Coder:
         return np.where(self.join_keys[place] == key, self.join_entries[place], NO_PAIR)
 
 
-def boundaries(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(raw: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts of the cuts of joined texts and the end; of each text, the number of cuts up to its end).
 
-    A cut is a line end, or a run of spaces with what follows it, or a line's start without a space.
+    apart: for every two bytes, whether texts are cut between them.
     """
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(raw), np.uint8)
-    space, line = text == 32, text == 10
-    begins = line.copy()
-    begins[1:] |= line[:-1] | space[1:] & ~space[:-1]
+    begins = np.zeros(len(text), bool)
+    if len(text):
+        begins[1:] = apart[text[:-1].astype(np.uint16) << 8 | text[1:]]
     begins[(ends - sizes)[sizes > 0]] = True
     starts = np.append(np.flatnonzero(begins), len(text)).astype(np.int64)
     return starts, np.searchsorted(starts, ends)
@@ -365,6 +370,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         finally:
             if collects:
                 gc.enable()
+            common.give_back()
 
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
