@@ -228,3 +228,13 @@ def test_names_that_operators_use(spark):
     assert sorted(map(str, simhash.keep_one_of_each(docs).collect())) == sorted(str(r) for r in docs.collect() if r.text != "A  b c")
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {1, 2, None} and mixed.count() > 0
+
+
+@pytest.mark.parametrize("slots", [1, 3, 1 << 20])
+def test_keep_one_of_each_whatever_the_slots(spark, monkeypatch, slots):
+    monkeypatch.setattr(common, "SLOTS", slots)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.expr("doc_id + 1000000")))
+    rows = docs.collect()
+    kept = {i for i, _, c in slow_simhash([(r.doc_id, r.text) for r in rows]) if i == c}
+    assert sorted(map(str, simhash.keep_one_of_each(docs).collect())) == sorted({str(r) for r in rows if r.doc_id in kept})

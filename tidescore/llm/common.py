@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes up at once, but for one longer text.
 TEXT_BYTES = 3_000_000
+#: Hash slots, the most rows that a broadcast of slots holds.
+SLOTS = 1 << 20
 #: Rows of an Arrow batch that the entry points ask for.
 ENTRY_ROWS = 1000
 #: A key's share of all rows, as a fraction 1 / HOT, beyond which its rows don't go through a shuffle; no more than HOT keys can have it.
@@ -71,6 +73,11 @@ def crc_mod(column, modulus: int):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def slot(*columns: str):
+    """One of SLOTS numbers, by a hash. A table of distinct slots has a bounded size, so it may be broadcast."""
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(SLOTS))
+
+
 def row_hashes(docs: DataFrame) -> dict:
     """_h1, _h2: 128 bits of hash of a row's columns (maps aside), which tell rows apart whatever their ids."""
     names = [c for c, kind in docs.dtypes if "map<" not in kind]

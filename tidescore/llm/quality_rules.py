@@ -5,7 +5,7 @@ score is the mean over its n-grams of log(p_trusted / p_raw). A text is kept if
 is at least a fixed threshold, for every document alike. Counts cover all documents and all labelled ones.
 
 All documents are counted where they lie; the trusted ones, found by a semi-join with the ids of good labels, are counted
-apart. The plan is the same at every size: documents whose id's slot, one of SLOTS, holds no trusted id are dropped by a
+apart. The plan is the same at every size: documents whose id's slot, one of common.SLOTS, holds no trusted id are dropped by a
 broadcast of the slots, whose number is bounded, and the others are shuffled to the ids. A partition adds up its own
 counts and yields them in chunks of CHUNK buckets, which are summed by chunk. Only the finished model, of BUCKETS weights,
 comes to the driver.
@@ -30,8 +30,6 @@ ORDER = 3
 SMOOTHING = 65_536.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.5
-#: Hash slots of trusted ids, the most rows that a broadcast holds.
-SLOTS = 1 << 20
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -114,9 +112,8 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket, from all documents and all labelled ones."""
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(SLOTS))
-    slots = trusted.select(slot("_id").alias("_slot")).distinct()
-    likely = docs.select("doc_id", "text").join(F.broadcast(slots), slot("doc_id") == F.col("_slot"), "left_semi")
+    slots = trusted.select(common.slot("_id").alias("_slot")).distinct()
+    likely = docs.select("doc_id", "text").join(F.broadcast(slots), common.slot("doc_id") == F.col("_slot"), "left_semi")
     raw = bucket_counts(docs.select("text"))
     target = bucket_counts(likely.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("text"))
     if not target.sum():

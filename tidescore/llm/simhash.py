@@ -156,12 +156,17 @@ def keep_one_of_each(docs: DataFrame, limit: int = POSTING_LIMIT) -> DataFrame:
     renamed = docs.toDF(*plain)
     key = plain[names.index("doc_id")]
     hashed = renamed.withColumns(common.row_hashes(renamed))
-    marked = fingerprints(hashed, key, plain[names.index("text")], ("_h1", "_h2")).groupBy("fp", "id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("rows"))
+    marked = fingerprints(hashed, key, plain[names.index("text")], ("_h1", "_h2")).groupBy("fp", "id", "_h1", "_h2").agg(F.count(F.lit(1)).alias("rows")).checkpoint()
     place = F.struct(F.isnull("id").alias("none"), "id", F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), "rows")
     distinct = marked.groupBy("fp").agg(F.min(place).alias("first")).checkpoint()
     kept = with_roots(distinct, limit).where("root.fp = fp").select("first.*").checkpoint()
-    joined = hashed.join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")))
-    once = joined.where("rows = 1").select(*plain)
+    same = (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2"))
+    # texts are shuffled only where their hash's slot holds a row that goes, or one of several equal rows
+    doubtful = marked.join(kept.where("rows = 1").select("h1", "h2"), same, "left_anti")
+    slots = F.broadcast(doubtful.select(common.slot("_h1", "_h2").alias("slot")).distinct())
+    sure = hashed.join(slots, common.slot("_h1", "_h2") == F.col("slot"), "left_anti")
+    joined = hashed.join(slots, common.slot("_h1", "_h2") == F.col("slot"), "left_semi").join(kept, F.col(key).eqNullSafe(F.col("id")) & same)
+    once = sure.select(*plain).unionByName(joined.where("rows = 1").select(*plain))
     if not kept.where("rows > 1").isEmpty():
         once = once.unionByName(joined.where("rows > 1").dropDuplicates([key, "_h1", "_h2"]).select(*plain))
     return once.toDF(*names)
