@@ -53,13 +53,20 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return levels.select("source", "source_size", target.alias("target")).withColumn("budget", F.floor(F.col("target") + 0.5).cast("bigint"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, and columns more, which order rows of one id and size."""
+def size_of(text_col: str):
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def key_of(id_col: str, size_col: str, seed: str = SEED):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col(size_col).cast("string")).cast("binary"))
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """mix's columns, and passes, the whole passes over a row's source, and key."""
     common.checkpoint_folder(docs.sparkSession)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")).cast("binary"))
     sized = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *more)
-        .withColumn("key", key)
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), *more)
+        .withColumn("key", key_of("doc_id", "size", seed))
         .checkpoint()
     )
     sized = sized.withColumn("part", F.substring("key", 1, range_digits(sized.count())))
@@ -76,36 +83,54 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     rest = F.col("budget") - passes * F.col("source_size") - F.col("offset") - F.col("ahead")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *more)
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *more, passes.cast("bigint").alias("passes"), "key")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and columns more, which order rows of one id and size."""
+    return _mix(docs, id_col, text_col, source_col, weights, max_epochs, seed, more).drop("passes", "key")
 
 
 def op4_mix(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def with_source(rows: DataFrame, source: str, table: DataFrame) -> DataFrame:
+    """rows joined with a table of one row for each source s: broadcast up to a size, beyond it shuffled."""
+    small = table.count() <= common.BROADCAST_SPLITS
+    return rows.join(F.broadcast(table) if small else table, F.col(source).eqNullSafe(F.col("s")))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each pass that takes it; the one at its source's cut ends with the last word taken.
 
-    Documents without words stay out: a mix of words takes none of them. Each row has its own counts, whatever its id; of rows equal in all columns, one stands for all and has their sum.
+    Documents without words stay out: a mix of words takes none of them. Texts aren't shuffled: a source's last pass ends at
+    one row in the order of key, id, size and hash, and every row knows its side of that cut. Each row has its own counts,
+    whatever its id; of rows equal in all columns at a cut, one stands for all and has their sum.
     """
     names = docs.columns
     plain = [f"c{k}" for k in range(len(names))]
     renamed = docs.toDF(*plain)
     key, text, source = (plain[names.index(c)] for c in ("doc_id", "text", "source"))
     hashed = renamed.withColumns(common.row_hashes(renamed))
-    taken = mix(hashed, key, text, source, more=("_h1", "_h2")).groupBy(F.col("doc_id").alias("id"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"))
-    counts = taken.agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows")).where("taken > 0").checkpoint()
-    joined = hashed.join(counts, F.col(key).eqNullSafe(F.col("id")) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")))
-    if not counts.where("rows > 1").isEmpty():
-        joined = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates([key, "_h1", "_h2"]))
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    whole = F.col("taken") - (F.col("copy") - 1) * F.col("size") >= F.col("size")
+    place = lambda doc_id: F.struct("key", F.col(doc_id).alias("doc_id"), "size", "_h1", "_h2")
+    rows = _mix(hashed, key, text, source, more=("_h1", "_h2")).withColumn("place", place("doc_id")).checkpoint()
+    last = F.max(F.when(F.col("taken") > F.col("passes") * F.col("size"), F.col("place")))
+    cuts = rows.groupBy(F.col("source").alias("s")).agg(F.max("passes").alias("whole"), last.alias("cut")).checkpoint()
+    sums = with_source(rows, "source", cuts).where("place = cut").groupBy("s").agg(F.sum("taken").alias("taken")).withColumnRenamed("s", "at")
+    plan = cuts.join(sums, F.col("s").eqNullSafe(F.col("at")), "left").drop("at").checkpoint()
+    sized = hashed.withColumn("size", size_of(text)).where("size > 0").withColumn("key", key_of(key, "size")).withColumn("place", place(key))
+    joined = with_source(sized, source, plan)
+    times = F.col("whole") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0)
+    uncut = joined.where("cut IS NULL OR place != cut").withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    ends = joined.where("place = cut").dropDuplicates([source]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    some = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     first = F.expr(rf"array_join(slice(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, cast(taken - (copy - 1) * size as int)), '')")
-    out = copies.withColumn(text, F.when(whole, F.col(text)).otherwise(first))
+    ends = ends.withColumn(text, F.when(some >= F.col("size"), F.col(text)).otherwise(first))
     if "n_chars" in names:
         chars = plain[names.index("n_chars")]
-        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*plain).toDF(*names)
+        ends = ends.withColumn(chars, F.when(some >= F.col("size"), F.col(chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return uncut.select(*plain).unionByName(ends.select(*plain)).toDF(*names)
 
 
 #: DuckDB: the same sums; key order is that of md5's hex digits.
