@@ -78,3 +78,52 @@ def test_encode(stages):
 
 def test_run(spark, stages):
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()) == sorted(r.ids_sha256 for r in stages[5].collect())
+
+
+def test_sessions(spark):
+    """Operators leave the session's batches alone; entry points change nothing but the default, and always to the same number."""
+    from tidescore.llm import chat, common, embedding_dedup, html_extract, license_scan, mixing, quality_classifier, queries, simhash
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sf_dir = "/root/testdata/sf0.001"
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    old = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "10000")
+        docs, labels = table("documents"), table("labels")
+        for frame in (
+            chat.op1_chat(table("conversations")), sentencepiece_bpe.op2_sentencepiece(docs, model_path()), simhash.op3_simhash(docs), mixing.op4_mix(docs), html_extract.op5_html(table("pages")),
+            quality_rules.op6_quality_rules(docs, labels), license_scan.op7_license_scan(docs), quality_classifier.op9_quality(docs, labels), embedding_dedup.op10_embedding_dedup(table("embeddings")),
+        ):
+            frame.limit(1).collect()
+            assert spark.conf.get(rows) == "10000"
+        queries.queries()["op5_html"](spark, sf_dir)
+        assert spark.conf.get(rows) == "1000"
+        spark.conf.set(rows, "777")
+        queries.queries()["op5_html"](spark, sf_dir)
+        assert spark.conf.get(rows) == "777"
+        assert common.checkpoint_folder(spark)
+    finally:
+        spark.conf.set(rows, old)
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidescore.llm import common
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://far:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, other=None: other))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.checkpoint_folder(session)
+
+
+def test_stage_folders_go(spark):
+    import pathlib
+
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.glob("pipeline-*"))
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    (made,) = set(base.glob("pipeline-*")) - before
+    assert [x.name for x in made.iterdir()] == [str(len(corpus_pipeline.STAGES) - 2)]
