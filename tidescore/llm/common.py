@@ -51,13 +51,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where their texts in a column reach a number of bytes, so that memory doesn't grow with rows or texts."""
+    """The batches, cut where their texts in a column reach a number of bytes, so that memory doesn't grow with rows or texts.
+
+    After the last one what the task has freed is given back.
+    """
     for batch in batches:
         sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)) + 64, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e > s:
                 yield batch.slice(s, e - s)
+    give_back()
 
 
 def give_back() -> None:

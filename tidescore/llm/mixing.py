@@ -117,20 +117,22 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = _mix(hashed, key, text, source, more=("_h1", "_h2")).withColumn("place", place("doc_id")).checkpoint()
     last = F.max(F.when(F.col("taken") > F.col("passes") * F.col("size"), F.col("place")))
     cuts = rows.groupBy(F.col("source").alias("s")).agg(F.max("passes").alias("whole"), last.alias("cut")).checkpoint()
-    sums = with_source(rows, "source", cuts).where("place = cut").groupBy("s").agg(F.sum("taken").alias("taken")).withColumnRenamed("s", "at")
+    sums = with_source(rows, "source", cuts).where("place = cut").groupBy("s").agg(F.sum("taken").alias("at_cut"), F.count(F.lit(1)).alias("rows")).withColumnRenamed("s", "at")
     plan = cuts.join(sums, F.col("s").eqNullSafe(F.col("at")), "left").drop("at").checkpoint()
-    sized = hashed.withColumn("size", size_of(text)).where("size > 0").withColumn("key", key_of(key, "size")).withColumn("place", place(key))
-    joined = with_source(sized, source, plan)
-    times = F.col("whole") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0)
-    uncut = joined.where("cut IS NULL OR place != cut").withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    ends = joined.where("place = cut").dropDuplicates([source]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    some = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    sized = hashed.withColumn("size", size_of(text)).withColumn("key", key_of(key, "size")).withColumn("place", place(key))
+    is_cut = F.coalesce(F.col("place") == F.col("cut"), F.lit(False))
+    times = F.col("whole") + F.coalesce((F.col("place") < F.col("cut")).cast("int"), F.lit(0))
+    joined = with_source(sized, source, plan).withColumn("is_cut", is_cut).withColumn("taken", F.when(is_cut, F.col("at_cut")).otherwise(times * F.col("size")))
+    if not plan.where("rows > 1").isEmpty():
+        joined = joined.where("NOT is_cut OR rows = 1").unionByName(joined.where("is_cut AND rows > 1").dropDuplicates([source]))
+    copies = joined.withColumn("copy", F.explode(F.expr("if(taken > 0, sequence(1, cast(ceil(taken / size) as int)), cast(array() as array<int>))")))
+    whole = F.col("taken") - (F.col("copy") - 1) * F.col("size") >= F.col("size")
     first = F.expr(rf"array_join(slice(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, cast(taken - (copy - 1) * size as int)), '')")
-    ends = ends.withColumn(text, F.when(some >= F.col("size"), F.col(text)).otherwise(first))
+    out = copies.withColumn(text, F.when(whole, F.col(text)).otherwise(first))
     if "n_chars" in names:
         chars = plain[names.index("n_chars")]
-        ends = ends.withColumn(chars, F.when(some >= F.col("size"), F.col(chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return uncut.select(*plain).unionByName(ends.select(*plain)).toDF(*names)
+        out = out.withColumn(chars, F.when(whole, F.col(chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*plain).toDF(*names)
 
 
 #: DuckDB: the same sums; key order is that of md5's hex digits.

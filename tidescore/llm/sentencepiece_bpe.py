@@ -370,7 +370,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         finally:
             if collects:
                 gc.enable()
-            common.give_back()
 
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
