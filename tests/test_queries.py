@@ -35,6 +35,27 @@ def test_query_equals_sql(spark, sf, oracle, name):
     assert sorted(repr([plain(r[c]) for c in sorted(names)]) for r in frame.collect()) == want
 
 
+#: Floats just below a step of (e + 0.5) * 256, which arithmetic in float rounds up to it, and extreme ones.
+ODD = [0.12499997019767761, 0.1406249850988388, 0.2070312350988388, -0.1914062649011612, -0.1093750149011612, 0.5, -0.5, math.nan, math.inf, -math.inf]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("odd")
+    rows = [(k, [ODD[(k + i * i) % len(ODD)] for i in range(64)]) for k in range(20)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["pixel_parity"])
+def test_pixels_of_odd_floats(spark, odd_tables, name):
+    frame = QUERIES[name](spark, odd_tables)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{odd_tables}/embeddings.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, frame.collect())) == sorted(found) != []
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
 

@@ -117,7 +117,9 @@ CROP_SQL = f"y BETWEEN 1 AND {CROP} AND x BETWEEN 1 AND {CROP}"
 
 
 def tile_rows(spark, d) -> DataFrame:
-    e = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 256), F.lit(0)), F.lit(255)).cast("int")
+    """Bytes of the components, by arithmetic of the column's own type as in SQL: a float just below a step is rounded up to it."""
+    number = lambda x: F.lit(x).cast("float")
+    e = lambda v: F.floor(F.least(F.greatest((v + number(0.5)) * number(256), number(0)), number(255))).cast("int")
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", e).alias("tile"))
 
 
