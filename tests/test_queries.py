@@ -47,7 +47,7 @@ def odd_tables(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_resize_bilinear"])
+@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_resize_bilinear", "tile_rgb_chw"])
 def test_pixels_of_odd_floats(spark, odd_tables, name):
     frame = QUERIES[name](spark, odd_tables)
     con = duckdb.connect()
@@ -56,6 +56,17 @@ def test_pixels_of_odd_floats(spark, odd_tables, name):
     assert sorted(map(tuple, frame.collect())) == sorted(found) != []
 
 
+def test_normalised_bytes_round_as_in_sql(spark, tmp_path):
+    """Each byte in each channel; in float32, byte 52 of green is -1.12535 from the other side."""
+    rows = [(b, [(b + 0.5) / 256 - 0.5] * 64) for b in range(256)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    frame = QUERIES["tile_rgb_chw"](spark, str(tmp_path))
+    found = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({SQL['tile_rgb_chw']})").fetchall()
+    assert sorted(map(tuple, frame.collect())) == sorted(found) != []
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
 
