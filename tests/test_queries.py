@@ -47,7 +47,7 @@ def odd_tables(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_resize_bilinear", "tile_rgb_chw"])
+@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_resize_bilinear", "tile_rgb_chw", "tile_scaled_decode"])
 def test_pixels_of_odd_floats(spark, odd_tables, name):
     frame = QUERIES[name](spark, odd_tables)
     con = duckdb.connect()
