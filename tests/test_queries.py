@@ -1,6 +1,7 @@
 """Every query against its DuckDB SQL on the driver's tables."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -56,6 +57,25 @@ def test_pixels_of_odd_floats(spark, odd_tables, name):
     assert sorted(map(tuple, frame.collect())) == sorted(found) != []
 
 
+@pytest.fixture(scope="module")
+def ragged_tables(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("ragged")
+    full = [(i * 37 % 256) / 256 - 0.5 for i in range(100)]
+    rows = list(enumerate([full[:64], None, [], full[:1], full[:10], full[:47], full[:63], full[:65], full, [None, *full[1:64]]]))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["png_round_trip"])
+def test_pixels_of_ragged_vectors(spark, ragged_tables, name):
+    """Null vectors and those of fewer or more components than a tile has."""
+    frame = QUERIES[name](spark, ragged_tables)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{ragged_tables}/embeddings.parquet/*.parquet'")
+    found = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({SQL[name]})").fetchall()
+    assert Counter(map(tuple, frame.collect())) == Counter(found) != Counter()
+
+
 def test_normalised_bytes_round_as_in_sql(spark, tmp_path):
     """Each byte in each channel; in float32, byte 52 of green is -1.12535 from the other side."""
     rows = [(b, [(b + 0.5) / 256 - 0.5] * 64) for b in range(256)]

@@ -178,12 +178,13 @@ def pixel_parity(spark, d):
 
 @query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda e: least(greatest(floor((e + 0.5) * 256), 0), 255))) AS BIGINT) AS total, 'png' AS format FROM embeddings")
 def png_round_trip(spark, d):
-    """Tiles written as PNG files' bytes, sniffed and decoded again."""
+    """Tiles written as PNG files' bytes, sniffed and decoded again; a vector of another length is a picture of one line."""
 
     def work(batches):
         for batch in batches:
-            made = [pixels.encode_png(np.array(t, np.uint8).reshape(TILE, TILE, 1)) for t in batch.column(1).to_pylist()]
-            sums = [int(pixels.decode_png(b).sum()) for b in made]
+            tiles = [t or [] for t in batch.column(1).to_pylist()]
+            made = [pixels.encode_png(np.array(t, np.uint8).reshape(TILE if len(t) == TILE * TILE else 1, -1, 1)) for t in tiles]
+            sums = [int(pixels.decode_png(b).sum()) if t else None for t, b in zip(tiles, made, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array(list(map(pixels.image_format, made)))], ["vec_id", "total", "format"])
 
     return tile_rows(spark, d).mapInArrow(work, "vec_id bigint, total bigint, format string")
