@@ -5,6 +5,7 @@ The tables hold no pictures, logits or latencies, so embeddings stand for logits
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -123,6 +124,12 @@ def tile_rows(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", e).alias("tile"))
 
 
+def listed(picture: np.ndarray) -> list[int | None]:
+    """Its bytes, null for those that depend on pixels the vector lacks."""
+    values = picture.ravel().tolist()
+    return values if picture.dtype == np.uint8 else [None if math.isnan(v) else int(v) for v in values]
+
+
 def tile_values(spark, d, mode, raw_bytes=False) -> DataFrame:
     rows = scoring.tiles(tile_rows(spark, d), "vec_id", "tile", TILE, mode, BIG, CROP, scalars.MEAN[:1], scalars.STD[:1], raw_bytes)
     side = BIG if raw_bytes else CROP
@@ -212,7 +219,7 @@ def tile_alpha(spark, d):
 
     def work(batches):
         for batch in batches:
-            made = [pixels.to_rgb(np.array(t, np.uint8).reshape(4, 4, 4)).ravel().tolist() for t in batch.column(1).to_pylist()]
+            made = [listed(pixels.to_rgb(pixels.tile(t, 4, 4, 4))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], ["vec_id", "rgb"])
 
     rows = tile_rows(spark, d).mapInArrow(work, "vec_id bigint, rgb array<int>").select("vec_id", F.posexplode("rgb").alias("i", "v"))
