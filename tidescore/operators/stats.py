@@ -132,9 +132,10 @@ def meter_summary(samples: DataFrame, by: list[str], util: str, mem: str) -> Dat
 
 
 def parity(a_minus_b: DataFrame, by: list[str], delta: str, tolerance: int) -> DataFrame:
-    """mean and largest absolute difference, and the percentage within the tolerance."""
+    """mean and largest absolute difference, and the percentage within the tolerance, of all rows: a null difference isn't within it."""
     off = F.abs(F.col(delta))
-    return a_minus_b.groupBy(*by).agg(F.avg(off).alias("mean_abs"), F.max(off).alias("max_abs"), (F.avg((off <= tolerance).cast("double")) * 100).alias("within_pct"))
+    within = F.coalesce(off <= tolerance, F.lit(False))
+    return a_minus_b.groupBy(*by).agg(F.avg(off).alias("mean_abs"), F.max(off).alias("max_abs"), (F.avg(within.cast("double")) * 100).alias("within_pct"))
 
 
 def speedup(levels: DataFrame, level: str, ms: str) -> DataFrame:

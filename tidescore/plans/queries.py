@@ -176,7 +176,8 @@ def tile_rgb_chw(spark, d):
 SELECT vec_id, round(avg(a), 6) AS mean_abs, CAST(max(a) AS INT) AS max_abs, round(avg(CASE WHEN a <= 8 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS within_pct FROM off GROUP BY vec_id""")
 def pixel_parity(spark, d):
     """Bilinear against nearest pixels, within 8."""
-    near = tile_rows(spark, d).select("vec_id", F.posexplode("tile").alias("i", "n"))
+    whole = F.transform(F.sequence(F.lit(1), F.lit(TILE * TILE)), lambda k: F.try_element_at("tile", k))
+    near = tile_rows(spark, d).select("vec_id", F.posexplode(whole).alias("i", "n"))
     big = tile_values(spark, d, "rounded", True).withColumn("i", (F.floor(F.col("y") / 2) * TILE + F.floor(F.col("x") / 2)).cast("int"))
     rows = big.join(near, ["vec_id", "i"]).select("vec_id", (F.col("v") - F.col("n")).alias("delta"))
     out = stats.parity(rows, ["vec_id"], "delta", 8)
