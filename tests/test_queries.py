@@ -66,7 +66,7 @@ def ragged_tables(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_fused", "tile_normalize_chw", "tile_resize_bilinear", "tile_rgb_chw"])
+@pytest.mark.parametrize("name", ["pixel_parity", "png_round_trip", "tile_alpha", "tile_fused", "tile_normalize_chw", "tile_resize_bilinear", "tile_rgb_chw", "tile_scaled_decode"])
 def test_pixels_of_ragged_vectors(spark, ragged_tables, name):
     """Null vectors and those of fewer or more components than a tile has."""
     frame = QUERIES[name](spark, ragged_tables)

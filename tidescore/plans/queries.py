@@ -204,9 +204,16 @@ SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(floor(total / 4 +
 def tile_scaled_decode(spark, d):
     """Tiles written as PNG files' bytes and decoded at half their size."""
 
+    def half(tile):
+        picture = pixels.tile(tile, TILE, TILE, 1)
+        if picture.dtype == np.uint8:
+            return pixels.shrink(pixels.decode_png(pixels.encode_png(picture)), 1, 2)
+        read = pixels.decode_png(pixels.encode_png(np.nan_to_num(picture).astype(np.uint8)))
+        return pixels.shrink(np.where(np.isnan(picture), np.nan, read), 1, 2)  # a file can't say which pixels aren't there
+
     def work(batches):
         for batch in batches:
-            made = [pixels.shrink(pixels.decode_png(pixels.encode_png(np.array(t, np.uint8).reshape(TILE, TILE, 1))), 1, 2).ravel().tolist() for t in batch.column(1).to_pylist()]
+            made = [listed(half(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], ["vec_id", "half"])
 
     rows = tile_rows(spark, d).mapInArrow(work, "vec_id bigint, half array<int>").select("vec_id", F.posexplode("half").alias("i", "v"))
